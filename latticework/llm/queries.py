@@ -11,6 +11,13 @@ from pyspark.sql import functions as F
 from .common import table
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdicts of the quality rules for all documents."""
+    from .quality import quality_verdicts
+
+    return quality_verdicts(table(spark, sf_dir, "documents"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents."""
     from .simhash import simhash_groups
@@ -19,6 +26,6 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_simhash": op2_simhash}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_quality": op1_quality, "op2_simhash": op2_simhash}
 
 ORACLE_SQL: dict[str, str] = {}
