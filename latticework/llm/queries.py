@@ -26,6 +26,24 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_quality": op1_quality, "op2_simhash": op2_simhash}
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to ZIP packages of WARC records and read back."""
+    from .warc_zip import archive_round_trip
+
+    return archive_round_trip(table(spark, sf_dir, "pages")).drop("payload")
+
+
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from those whose crc32 of the id isn't a multiple of 5."""
+    from .langid import fit, identify
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    model = fit(docs.filter(fold != 0), key=F.col("doc_id"))
+    found = identify(docs.withColumn("held_out", F.coalesce(fold == 0, F.lit(False))), model, keep=["doc_id", "held_out"])
+    return found.select("doc_id", "held_out", "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_quality": op1_quality, "op2_simhash": op2_simhash, "op5_warc": op5_warc, "op10_langid": op10_langid}
 
 ORACLE_SQL: dict[str, str] = {}
