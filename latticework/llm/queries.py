@@ -33,6 +33,13 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(table(spark, sf_dir, "pages")).drop("payload")
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 1024 tokens."""
+    from .packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from those whose crc32 of the id isn't a multiple of 5."""
     from .langid import fit, identify
@@ -44,6 +51,6 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score", F.size("spans").alias("n_spans"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_quality": op1_quality, "op2_simhash": op2_simhash, "op5_warc": op5_warc, "op10_langid": op10_langid}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_quality": op1_quality, "op2_simhash": op2_simhash, "op5_warc": op5_warc, "op6_packing": op6_packing, "op10_langid": op10_langid}
 
 ORACLE_SQL: dict[str, str] = {}
