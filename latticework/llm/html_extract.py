@@ -39,6 +39,7 @@ BOILERPLATE_WORDS = frozenset(
     "social share sharing comment comments commentlist disqus respond reply replies related recommended widget pagination pager login search".split()
 )
 CONTENT = frozenset(("article", "main"))
+_MARKABLE = BLOCKS | {"span", "a", "ins"}
 
 _WORDS = re.compile(r"[A-Za-z]+")
 _CAMEL = re.compile(r"([a-z])([A-Z])")
@@ -66,6 +67,8 @@ class _Open:
 def _is_boilerplate(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -> bool:
     if tag in BOILERPLATE or tag == "header" and not in_article:
         return True
+    if not attrs:
+        return False
     for name, value in attrs:
         if not value:
             continue
@@ -93,6 +96,10 @@ class LineParser(HTMLParser):
         self._text: list[str] = []
         self._tags = 0
 
+    def updatepos(self, i: int, j: int) -> int:
+        """Line numbers of the source aren't needed, and counting them reads the page again."""
+        return j
+
     def _end_line(self) -> None:
         text = " ".join("".join(self._text).split())
         top = self._stack[-1]
@@ -119,7 +126,7 @@ class LineParser(HTMLParser):
             while len(self._stack) > 1 and self._stack[-1].silent:
                 self._stack.pop()
             top = self._stack[-1]
-        bad = top.boilerplate or tag in BLOCKS | {"span", "a", "ins"} and _is_boilerplate(tag, attrs, top.article)
+        bad = top.boilerplate or tag in _MARKABLE and _is_boilerplate(tag, attrs, top.article)
         article = top.article or tag in CONTENT
         region = top.region
         if (bad != top.boilerplate) or (article != top.article) or tag in ("section", "article", "main"):
