@@ -47,6 +47,14 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents. The counts and the digest are the base patterns'; ``spans`` has
+    the network's too."""
+    from .pii import find_pii
+
+    return find_pii(table(spark, sf_dir, "documents")).drop("masked")
+
+
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from those whose crc32 of the id isn't a multiple of 5."""
     from .langid import fit, identify
@@ -58,6 +66,6 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score", F.size("spans").alias("n_spans"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_quality": op1_quality, "op2_simhash": op2_simhash, "op4_html": op4_html, "op5_warc": op5_warc, "op6_packing": op6_packing, "op10_langid": op10_langid}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_quality": op1_quality, "op2_simhash": op2_simhash, "op4_html": op4_html, "op5_warc": op5_warc, "op6_packing": op6_packing, "op8_pii": op8_pii, "op10_langid": op10_langid}
 
 ORACLE_SQL: dict[str, str] = {}
