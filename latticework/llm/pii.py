@@ -478,15 +478,16 @@ def _joined(spans: list[Span]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, counts of base spans by kind, base_sha256, spans, and
-    masked (the text with all spans replaced; null for a null text).
+    masked (the text with all spans replaced; null for a null text), then the columns ``keep``.
 
     A null or empty text has no span. Offsets are code points. Repeated rows come out repeated, an
     empty table gives an empty table, and other columns are ignored.
     """
     net = docs.sparkSession.sparkContext.broadcast(trained())  # a few thousand numbers
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    own = [f"_{i}" for i in range(len(keep or []))]
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(x) for c, x in zip(keep or [], own)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -497,8 +498,10 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 cols = [pa.array([sum(s[0] == k for s in base) for base, _ in spans], pa.int64()) for k in KINDS]
                 sha = [hashlib.sha256(_joined(base).encode()).hexdigest() for base, _ in spans]
                 masked = [t if t is None or not s else mask(t, s) for t, (_, s) in zip(texts, spans)]
-                arrays = [batch.column(0), *cols, pa.array(sha, pa.string()), pa.array([_joined(s) for _, s in spans], pa.string()), pa.array(masked, pa.string())]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "masked"])
+                arrays = [batch.column(0), *cols, pa.array(sha, pa.string()), pa.array([_joined(s) for _, s in spans], pa.string()), pa.array(masked, pa.string()), *batch.columns[2:]]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "masked", *own])
 
-    kind = dict(rows.dtypes)["doc_id"]
-    return rows.mapInArrow(run, f"doc_id {kind}, {', '.join(f'n_{k} long' for k in KINDS)}, base_sha256 string, spans string, masked string")
+    kinds = dict(rows.dtypes)
+    schema = f"doc_id {kinds['doc_id']}, {', '.join(f'n_{k} long' for k in KINDS)}, base_sha256 string, spans string, masked string"
+    found = rows.mapInArrow(run, ", ".join([schema, *(f"{x} {kinds[x]}" for x in own)]))
+    return found.withColumnsRenamed(dict(zip(own, keep or [])))

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import mixing
 from .common import table
 
 
@@ -55,6 +56,17 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents")).drop("masked")
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, replicated so that sources take their target weights, shuffled."""
+    from .mixing import poisson_mix
+
+    mixed = poisson_mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return mixed.select(
+        "doc_id", "source", F.col("_rate").alias("rate"), F.col("_copies").alias("copies"), F.col("_copy").alias("copy"),
+        F.md5(F.col("text").cast("binary")).alias("text_md5"), F.col("_order").alias("shuffle_key"),
+    )
+
+
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from those whose crc32 of the id isn't a multiple of 5."""
     from .langid import fit, identify
@@ -66,6 +78,6 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score", F.size("spans").alias("n_spans"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_quality": op1_quality, "op2_simhash": op2_simhash, "op4_html": op4_html, "op5_warc": op5_warc, "op6_packing": op6_packing, "op8_pii": op8_pii, "op10_langid": op10_langid}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_quality": op1_quality, "op2_simhash": op2_simhash, "op4_html": op4_html, "op5_warc": op5_warc, "op6_packing": op6_packing, "op8_pii": op8_pii, "op9_mixing": op9_mixing, "op10_langid": op10_langid}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op9_mixing": mixing.ORACLE_SQL}
