@@ -48,6 +48,19 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recordings that play the embeddings, fingerprinted; those with an id divisible by 20 are
+    searched in all of them."""
+    from .chroma import align_recordings, recordings
+
+    found = align_recordings(recordings(table(spark, sf_dir, "embeddings")), "vec_id")
+    best = F.try_element_at("links", F.lit(1))
+    return found.select(
+        F.col("query_id").alias("vec_id"), "n_links", best["id"].alias("best_id"), best["offset"].alias("best_offset"), best["bit_error"].alias("best_bit_error"),
+        F.transform("links", lambda x: x["id"]).alias("link_ids"),
+    )
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in all documents. The counts and the digest are the base patterns'; ``spans`` has
     the network's too."""
@@ -78,6 +91,6 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score", F.size("spans").alias("n_spans"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_quality": op1_quality, "op2_simhash": op2_simhash, "op4_html": op4_html, "op5_warc": op5_warc, "op6_packing": op6_packing, "op8_pii": op8_pii, "op9_mixing": op9_mixing, "op10_langid": op10_langid}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_quality": op1_quality, "op2_simhash": op2_simhash, "op4_html": op4_html, "op5_warc": op5_warc, "op6_packing": op6_packing, "op7_chroma": op7_chroma, "op8_pii": op8_pii, "op9_mixing": op9_mixing, "op10_langid": op10_langid}
 
 ORACLE_SQL: dict[str, str] = {"op9_mixing": mixing.ORACLE_SQL}
