@@ -27,6 +27,15 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document under a model of those whose crc32 of the id isn't 2 modulo 7."""
+    from .lm_scoring import train_and_score
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
+    return train_and_score(docs.withColumn("held_out", held_out), ~F.col("held_out"), keep=["doc_id", "held_out"])
+
+
 def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     from .html_extract import extract
@@ -91,6 +100,6 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score", F.size("spans").alias("n_spans"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_quality": op1_quality, "op2_simhash": op2_simhash, "op4_html": op4_html, "op5_warc": op5_warc, "op6_packing": op6_packing, "op7_chroma": op7_chroma, "op8_pii": op8_pii, "op9_mixing": op9_mixing, "op10_langid": op10_langid}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_quality": op1_quality, "op2_simhash": op2_simhash, "op3_lm": op3_lm, "op4_html": op4_html, "op5_warc": op5_warc, "op6_packing": op6_packing, "op7_chroma": op7_chroma, "op8_pii": op8_pii, "op9_mixing": op9_mixing, "op10_langid": op10_langid}
 
 ORACLE_SQL: dict[str, str] = {"op9_mixing": mixing.ORACLE_SQL}
