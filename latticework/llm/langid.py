@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 SAMPLE_PER_LANG = 2000
 #: languages the classifier knows at most (the most frequent labels)
 MAX_LANGS = 200
-#: characters of each sampled row's words that are counted at most
+#: cost of a change of language, in nats
 SWITCH = 8.0
 N_GRAMS = (1, 2, 3, 4)
 #: n-grams are hashed to so many counters
@@ -31,8 +31,8 @@ BUCKETS = 1 << 16
 SCRIPT_SHARE = 0.02
 #: log-odds of a word against the best language are cut here, so that one odd word can't decide
 WORD_CAP = 12.0
-#: words labelled at once
-BLOCK = 1 << 19
+#: bytes of text counted or labelled at once, a longer text alone
+BLOCK = 1 << 20
 
 #: First and last code point of Unicode ranges, by script.
 SCRIPTS = [
@@ -173,6 +173,15 @@ def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return pc.list_flatten(lists), lengths
 
 
+def blocks(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about BLOCK bytes in a text column."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    number = np.cumsum(sizes, dtype=np.int64) // BLOCK
+    cuts = np.append(np.flatnonzero(np.append(True, number[1:] != number[:-1])), len(sizes)) if len(sizes) else [0]
+    for lo, hi in zip(cuts[:-1], cuts[1:]):
+        yield batch.slice(lo, hi - lo)
+
+
 def label_block(model: LanguageModel, texts: pa.Array) -> tuple[list[str], np.ndarray, list[list[tuple[str, int]]]]:
     """Language, score and spans (language, words) of each text."""
     words, lengths = split_words(texts)
@@ -226,17 +235,21 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key
         grams = np.zeros((len(names), BUCKETS), np.int64)
         scripts = np.zeros((len(names), len(SCRIPT_NAMES)), np.int64)
         at = {x: i for i, x in enumerate(names)}
-        for batch in batches:
-            of = np.array([at[x] for x in batch.column(0).to_pylist()], np.int64)
-            flat, lengths = split_words(batch.column(1))
-            words = letters_only(flat).to_pylist()
+        for part in (x for batch in batches for x in blocks(batch, 1)):
+            of = np.array([at[x] for x in part.column(0).to_pylist()], np.int64)
+            flat, lengths = split_words(part.column(1))
+            coded = flat.dictionary_encode()
+            words = letters_only(coded.dictionary).to_pylist()
+            codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
             owner = np.repeat(of, lengths)
             row, gram = word_grams(words)
             full = np.fromiter((bool(w) for w in words), bool, len(words))
-            row_ok = full[row] if len(row) else np.zeros(0, bool)
-            grams += np.bincount(owner[row[row_ok]] * BUCKETS + gram[row_ok], minlength=grams.size).reshape(grams.shape)
             points, sizes = _code_points(words)
-            scripts += np.bincount(np.repeat(owner, sizes) * scripts.shape[1] + scripts_of(points), minlength=scripts.size).reshape(scripts.shape)
+            script, word = scripts_of(points), np.repeat(np.arange(len(words)), sizes)
+            for lang in np.unique(of):
+                times = np.bincount(codes[owner == lang], minlength=len(words)) * full
+                grams[lang] += np.bincount(gram, weights=times[row], minlength=BUCKETS).astype(np.int64)
+                scripts[lang] += np.bincount(script, weights=times[word], minlength=scripts.shape[1]).astype(np.int64)
         for kind, counts in ((0, grams), (1, scripts)):
             i, j = np.nonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), kind)), pa.array(i), pa.array(j), pa.array(counts[i, j])], names=["kind", "i", "j", "n"])
@@ -268,12 +281,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
-            sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
-            block = np.cumsum(sizes) // (BLOCK * 8)
-            cuts = np.append(np.flatnonzero(np.append(True, block[1:] != block[:-1])), len(sizes)) if len(sizes) else [0]
-            for lo, hi in zip(cuts[:-1], cuts[1:]):
-                part = batch.slice(lo, hi - lo)
+            for part in blocks(batch, batch.num_columns - 1):
                 langs, share, spans = label_block(shared.value, part.column(part.num_columns - 1))
                 typed = pa.array([[{"lang": a, "words": n} for a, n in s] for s in spans], pa.list_(pa.struct([("lang", pa.string()), ("words", pa.int64())])))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(langs, pa.string()), pa.array(share, pa.float64()), typed], names=[*part.schema.names[:-1], "lang_pred", "score", "spans"])
