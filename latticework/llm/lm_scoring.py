@@ -30,12 +30,12 @@ from pyspark.sql import functions as F
 from .common import with_row_key, write_shared
 
 #: words that are classes of their own, and classes by last two bytes
-SHORTLIST, ENDINGS = 640, 380
+SHORTLIST, ENDINGS = 448, 256
 #: the end of a text, the start of a text, and words of no listed ending
 END, START, REST = SHORTLIST + ENDINGS, SHORTLIST + ENDINGS + 1, SHORTLIST + ENDINGS + 2
 CLASSES = SHORTLIST + ENDINGS + 3
-#: words whose counts every task holds
-HEAD = 1 << 18
+#: words whose counts every task holds, at most
+HEAD = 1 << 17
 #: words that a counting task holds before it hands their counts on
 HELD_WORDS = 1 << 19
 DIM = 24
@@ -136,9 +136,28 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def head_words(vocabulary: DataFrame) -> list[tuple[bytes, int]]:
+    """The most frequent words with their counts, HEAD at most, the most frequent first. A histogram of
+    the counts' logarithms tells where to cut, so that only the words taken leave the executors."""
+    level = F.floor(F.log2("n") * 16).cast("int")
+    sizes = vocabulary.groupBy(level.alias("level")).agg(F.count("*").alias("words"), F.min("n").alias("least")).orderBy(F.desc("level")).collect()
+    least, taken = None, 0
+    for r in sizes:  # a thousand levels at most
+        taken += r["words"]
+        if taken > HEAD:
+            break
+        least = r["least"]
+    if least is None:  # over HEAD words share the highest level, or there is no word
+        rows = vocabulary.orderBy(F.desc("n"), "word").limit(HEAD if not sizes else SHORTLIST).toArrow()
+    else:
+        rows = vocabulary.filter(F.col("n") >= least).toArrow()
+    return sorted(zip(rows["word"].to_pylist(), rows["n"].to_pylist()), key=lambda x: (-x[1], x[0]))
+
+
 def _class_pairs(texts: DataFrame, lexicon) -> DataFrame:
-    """(kind, context, class, n): counts of classes after the class before (kind 0) and after the one
-    before that (kind 1). A task sends at most 2 * CLASSES**2 rows."""
+    """(kind, cell, n), cell = context * CLASSES + class: counts of classes after the class before (kind 0) and after the one
+    before that (kind 1). A task sends at most
+    2 * CLASSES**2 rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, endings = lexicon.value.classes()
@@ -164,9 +183,9 @@ def _class_pairs(texts: DataFrame, lexicon) -> DataFrame:
         count()
         for kind in (0, 1):
             at = np.flatnonzero(total[kind])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind)), pa.array(at // CLASSES), pa.array(at % CLASSES), pa.array(total[kind][at])], names=["kind", "c", "w", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), pa.array(at.astype(np.int32)), pa.array(total[kind][at])], names=["kind", "cell", "n"])
 
-    return texts.mapInArrow(run, "kind long, c long, w long, n long").groupBy("kind", "c", "w").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(run, "kind int, cell int, n long").groupBy("kind", "cell").agg(F.sum("n").alias("n"))
 
 
 @dataclass
@@ -188,22 +207,23 @@ def fit(train: DataFrame) -> tuple[ScoringModel, DataFrame]:
     vocabulary = write_shared(word_counts(texts), "vocabulary")
     n_texts = texts.count()
     n_words, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    head = vocabulary.orderBy(F.desc("n"), "word").limit(HEAD).collect()  # HEAD rows at most
-    words = [bytes(r[0]) for r in head]
+    head = head_words(vocabulary)
+    words = [w for w, _ in head]
     tail = vocabulary.withColumn("ending", F.expr("CASE WHEN octet_length(word) > 2 THEN substring(word, octet_length(word) - 1, 2) ELSE word END"))
-    short = set(words[:SHORTLIST])
-    by_ending = {bytes(r[0]): (r[1], r[2], r[3]) for r in tail.groupBy("ending").agg(F.sum("n").alias("n"), F.count("*"), F.sum((F.col("n") == 1).cast("long"))).orderBy(F.desc("n"), "ending").limit(1 << 16).collect()}
-    for r in head[:SHORTLIST]:  # words that are classes of their own leave their ending's class
-        e = bytes(r[0])[-2:]
-        if e in by_ending:
-            n, k, once = by_ending[e]
-            by_ending[e] = (n - r[1], k - 1, once - (r[1] == 1))
+    by_ending = {bytes(r[0]): (r[1], r[2], r[3]) for r in tail.groupBy("ending").agg(F.sum("n").alias("n"), F.count("*"), F.sum((F.col("n") == 1).cast("long"))).collect()}  # two bytes: 66,000 endings at most
+    for w, times in head[:SHORTLIST]:  # words that are classes of their own leave their ending's class
+        if w[-2:] in by_ending:
+            n, k, once = by_ending[w[-2:]]
+            by_ending[w[-2:]] = (n - times, k - 1, once - (times == 1))
     endings = sorted((e for e in by_ending if by_ending[e][0] > 0), key=lambda e: (-by_ending[e][0], e))[:ENDINGS]
-    lexicon = Lexicon(words, np.array([r[1] for r in head], np.int64), endings)
+    lexicon = Lexicon(words, np.array([n for _, n in head], np.int64), endings)
     shared = spark.sparkContext.broadcast(lexicon)
-    pairs = np.zeros((2, CLASSES, CLASSES))
-    rows = _class_pairs(texts, shared).toPandas()  # 2 * CLASSES**2 rows at most
-    pairs[rows["kind"], rows["c"], rows["w"]] = rows["n"]
+    pairs = np.zeros((2, CLASSES * CLASSES))
+    counted = write_shared(_class_pairs(texts, shared), "pairs")
+    for kind in (0, 1):
+        rows = counted.filter(F.col("kind") == kind).select("cell", "n").toArrow()  # CLASSES**2 rows at most
+        pairs[kind, rows["cell"].to_numpy()] = rows["n"].to_numpy()
+    pairs = pairs.reshape(2, CLASSES, CLASSES)
     class_tokens = pairs[0].sum(axis=0)
     noise = (class_tokens + 0.5) / (class_tokens.sum() + 0.5 * CLASSES)
     near = train_nce(pairs[0], noise)
