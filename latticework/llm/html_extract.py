@@ -114,7 +114,7 @@ class LineParser(HTMLParser):
             if tag not in VOID:
                 self._stack.append(_Open(tag, top.region, top.boilerplate, top.article, True))
             return
-        if tag in BLOCKS or tag in SILENT:
+        if tag in BLOCKS:
             self._end_line()
         self._tags += 1
         if tag in VOID:
