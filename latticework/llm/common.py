@@ -3,8 +3,6 @@ stay even when a few keys hold most rows."""
 
 from __future__ import annotations
 
-import atexit
-import os
 import tempfile
 import uuid
 
@@ -18,9 +16,6 @@ HOT_SHARE = 1_000
 #: ... and at least this many rows.
 HOT_ROWS = 5_000
 
-_made: list[str] = []
-
-
 def shared_root(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
@@ -38,31 +33,26 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
-def _forget(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the session may be gone; the folder is then the cluster's to clear
-        pass
+def delete_on_exit(spark: SparkSession, path: str) -> None:
+    """Have the driver's file system delete ``path`` when it closes."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder; it is deleted when the driver process ends."""
-    path = f"{shared_root(spark)}/latticework/{name}-{uuid.uuid4().hex}"
-    _made.append(path)
-    if len(_made) == 1:
-        atexit.register(lambda: [_forget(spark, p) for p in _made])
-    return path
+    """A fresh path in the shared folder."""
+    return f"{shared_root(spark)}/latticework/{name}-{uuid.uuid4().hex}"
 
 
 def write_shared(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back: lineage ends
-    here, and a lost executor costs no more than the stage that reads the table."""
+    here, and a lost executor costs no more than the stage that reads the table. The table goes
+    when the driver ends."""
     spark = df.sparkSession
     path = shared_path(spark, name)
     schema = df.schema
     df.write.parquet(path)
+    delete_on_exit(spark, path)
     return spark.read.schema(schema).parquet(path)
 
 
@@ -112,7 +102,3 @@ def open_filesystem(uri: str):
     if uri.startswith("file:"):
         return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
     return fs.FileSystem.from_uri(uri)
-
-
-def package_dir() -> str:
-    return os.path.dirname(os.path.abspath(__file__))

@@ -250,7 +250,8 @@ def score_texts(docs: DataFrame, model: ScoringModel, vocabulary: DataFrame, tex
     spark = docs.sparkSession
     keep = keep or []
     shared = spark.sparkContext.broadcast(model)  # HEAD words and tables of fixed size
-    rows = with_row_key(docs.select(F.col(text_col).cast("binary").alias("_text"), *[F.col(c) for c in keep]))
+    aside = [f"_{i}" for i in range(len(keep))]
+    rows = with_row_key(docs.select(F.col(text_col).cast("binary").alias("_text"), *[F.col(c).alias(x) for c, x in zip(keep, aside)]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: ScoringModel = shared.value
@@ -306,11 +307,13 @@ def score_texts(docs: DataFrame, model: ScoringModel, vocabulary: DataFrame, tex
                     done[0] + t[0], [None] * k + t[1], [None] * k + t[2], [None] * k + log_seen[cls].tolist(), [None] * k + log_unseen[cls].tolist(),
                     done[1] + [0] * pad, done[2] + [0] * pad, done[3] + [0.0] * pad, done[4] + [0.0] * pad,
                 ]
-                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds)], names=names)
+                kept = [pa.concat_arrays([c.slice(lo, 512), pa.nulls(pad, c.type)]) for c in batch.columns[1:-1]]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, kind) for c, kind in zip(columns, kinds)), *kept], names=[*names, *aside])
 
+    types = dict(rows.dtypes)
     schema = "_row long, word binary, tf long, known double, unknown double, n_tokens long, n_known long, base_score double, score double"
-    parts = write_shared(rows.select("_text", "_row").mapInArrow(run, schema), "scores")
-    whole = parts.filter(F.col("word").isNull()).select("_row", "n_tokens", "n_known", "base_score", "score")
+    parts = write_shared(rows.mapInArrow(run, ", ".join([schema, *(f"{x} {types[x]}" for x in aside)])), "scores")
+    whole = parts.filter(F.col("word").isNull()).select("_row", *aside, "n_tokens", "n_known", "base_score", "score")
     tail = parts.filter(F.col("word").isNotNull()).join(vocabulary, "word", "left")
     found = F.col("n").isNotNull()
     added = tail.groupBy("_row").agg(
@@ -319,8 +322,10 @@ def score_texts(docs: DataFrame, model: ScoringModel, vocabulary: DataFrame, tex
         F.sum(F.col("tf") * F.when(found, F.log10(F.col("n").cast("double")) + F.col("known")).otherwise(F.col("unknown"))).alias("s"),
     )
     plus = lambda a, b, zero: (F.col(a) + F.coalesce(F.col(b), F.lit(zero))).alias(a)
-    scored = whole.join(added, "_row", "left").select("_row", "n_tokens", plus("n_known", "k", 0), F.lit(model.tokens).cast("long").alias("train_tokens"), plus("base_score", "b", 0.0), plus("score", "s", 0.0))
-    return rows.drop("_text").join(scored, "_row").select(*keep, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return whole.join(added, "_row", "left").select(
+        *[F.col(x).alias(c) for c, x in zip(keep, aside)], "n_tokens", plus("n_known", "k", 0),
+        F.lit(model.tokens).cast("long").alias("train_tokens"), plus("base_score", "b", 0.0), plus("score", "s", 0.0),
+    )
 
 
 def train_and_score(docs: DataFrame, train: Column, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hot_split_join, open_filesystem, shared_path, write_shared
+from .common import delete_on_exit, hot_split_join, open_filesystem, shared_path, write_shared
 
 #: bytes of records that a package holds before the next one begins; the writer buffers these
 PACKAGE_BYTES = 48 << 20
@@ -300,4 +300,5 @@ def archive_round_trip(pages: DataFrame, with_payload: bool = False, **cols) ->
     spark = pages.sparkSession
     folder = shared_path(spark, "archives")
     manifest = write_archives(plan_records(pages, **cols), folder)
+    delete_on_exit(spark, folder)
     return read_archives(spark, manifest, folder, with_payload)
