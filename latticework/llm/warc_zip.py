@@ -302,3 +302,19 @@ def archive_round_trip(pages: DataFrame, with_payload: bool = False, **cols) ->
     manifest = write_archives(plan_records(pages, **cols), folder)
     delete_on_exit(spark, folder)
     return read_archives(spark, manifest, folder, with_payload)
+
+
+#: five hexadecimal digits of the SHA-1 are four digits of base 32
+ORACLE_SQL = """
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (
+  SELECT page_id, url, payload, h, max(page_id) OVER (PARTITION BY payload) AS first,
+    array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      CAST(((CAST('0x' || substr(h, 5 * (i // 4) + 1, 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31) + 1 AS BIGINT), 1)), '') AS digest
+  FROM p
+)
+SELECT page_id, url, CAST(octet_length(encode(payload)) AS BIGINT) AS payload_bytes, digest AS payload_digest,
+  CASE WHEN page_id IS NOT DISTINCT FROM first OR first IS NULL THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS NOT DISTINCT FROM first THEN NULL ELSE first END AS refers_to
+FROM d
+"""
