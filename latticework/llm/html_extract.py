@@ -36,10 +36,16 @@ BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary searc
 BOILERPLATE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs "
     "sidebar aside footer masthead topbar cookie cookies consent gdpr notice popup modal overlay newsletter subscribe subscription signup "
-    "social share sharing comment comments commentlist disqus respond reply replies related recommended widget pagination pager login search".split()
+    "alert disclaimer copyright legal skip toolbar social share sharing comment comments commentlist disqus respond reply replies related recommended widget pagination pager login search".split()
 )
 CONTENT = frozenset(("article", "main"))
+#: words that name boilerplate on a content element too, and outside of content only
+ON_CONTENT = frozenset("ad advert comment comments reply respond related teaser promo sponsored".split())
+OUTSIDE_CONTENT = frozenset(("header",))
+#: parts of a class that speak of the page's layout: has-sidebar, with-comments
+_LAYOUT = re.compile(r"(?:^|(?<=\s))(?:has|with|without|no)[-_]\S+")
 _MARKABLE = BLOCKS | {"span", "a", "ins"}
+_OUTSIDE_WORDS = BOILERPLATE_WORDS | OUTSIDE_CONTENT
 
 _WORDS = re.compile(r"[A-Za-z]+")
 _CAMEL = re.compile(r"([a-z])([A-Z])")
@@ -78,9 +84,10 @@ def _is_boilerplate(tag: str, attrs: list[tuple[str, str | None]], in_article: b
             return True
         if name == "style" and "display:none" in value.replace(" ", "").lower():
             return True
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
-            words = _WORDS.findall(_CAMEL.sub(r"\1 \2", value))
-            if any(w.lower() in BOILERPLATE_WORDS for w in words):
+        if name in ("class", "id") and tag not in ("html", "body"):
+            words = {w.lower() for w in _WORDS.findall(_CAMEL.sub(r"\1 \2", _LAYOUT.sub(" ", value)))}
+            named = ON_CONTENT if tag in CONTENT else BOILERPLATE_WORDS if in_article else _OUTSIDE_WORDS
+            if not words.isdisjoint(named):
                 return True
     return any(name == "hidden" for name, _ in attrs)
 

@@ -34,6 +34,8 @@ def page(body, head="<title>T</title><script>var a='<p>no</p>';</script><style>p
     (f"<div class='cookie-notice'>{LONG}</div><article><p>{LONG}<br>x</p><form>f<input></form><section id=comments><p>{LONG}</p></section></article>", f"{LONG.strip()} x"),
     (f"<div class=sidebar>{LONG}</div><div><p>{LONG}</p><p>{LONG}</p></div><div class='ad'>buy</div>", f"{LONG.strip()} {LONG.strip()}"),
     (f"<article><p>a<b>b</b>c<script>x()</script>d</p><ul><li>one<li>two</ul><p>{LONG}</article>", f"abcd one two {LONG.strip()}"),
+    (f"<div id=header>Site</div><div class='wrap has-sidebar'><article class='post'><p>{LONG}</p></article><div class='comment-list'><article class='comment'><p>{LONG}</p></article></div></div>", LONG.strip()),
+    (f"<main><p>{LONG}</p><article class='comment'><p>{LONG}</p></article><aside>x</aside><div role=search>y</div></main>", LONG.strip()),
     ("<article><p>&lt;tag&gt; &#233;&eacute; &unknown; 5 < 6</p></article>", "<tag> éé &unknown; 5 < 6"),
 ])
 def test_main_text(body, want):
