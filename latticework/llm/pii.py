@@ -392,13 +392,34 @@ def _plausible(kind: str, text: str) -> bool:
     if kind == "card":
         return 13 <= len(digits) <= 19 and luhn(digits)
     if kind == "phone":
-        return 7 <= len(digits) <= 15
+        return 7 <= len(digits) <= 15 and bool(re.search(r"[+()/ .-]", text.strip()))
     if kind == "ip":
         if ":" in text:
             return len(re.findall(r"[0-9a-fA-F]+", text)) == 8
         parts = re.findall(r"[0-9]+", text)
         return len(parts) == 4 and all(len(x) <= 3 and int(x) <= 255 for x in parts)
-    return bool(_EMAIL_FORM.fullmatch(text.strip(" \t\n.,;:")))
+    return bool(_EMAIL_FORM.fullmatch(text))
+
+
+def _bounded(kind: str, text: str, a: int, b: int) -> Iterator[Span]:
+    """Where what the network proposes begins and ends: at whole words, and for an address at the form
+    of one that lies mostly in the proposal."""
+    while a > 0 and text[a].isalnum() and text[a - 1].isalnum():
+        a -= 1
+    while b < len(text) and text[b - 1].isalnum() and text[b].isalnum():
+        b += 1
+    part = text[a:b]
+    start, end = a + len(part) - len(part.lstrip(" \t\n.,;:")), a + len(part.rstrip(" \t\n.,;:"))
+    if kind != "email":
+        if start < end and _plausible(kind, text[start:end]):
+            yield kind, start, end
+        return
+    lo, hi = max(0, a - MARGIN), min(len(text), b + MARGIN)
+    while lo > 0 and lo > a - 2 * MARGIN and not text[lo - 1].isspace():
+        lo -= 1
+    for m in _EMAIL_FORM.finditer(text, lo, hi):
+        if 2 * (min(m.end(), b) - max(m.start(), a)) >= m.end() - m.start():
+            yield kind, m.start(), m.end()
 
 
 def _tag_spans(tags: np.ndarray, text: str, at: int) -> Iterator[Span]:
@@ -410,10 +431,7 @@ def _tag_spans(tags: np.ndarray, text: str, at: int) -> Iterator[Span]:
         kind, j = (tags[i] - 1) // 2, i + 1
         while j < n and tags[j] == 2 + 2 * kind:
             j += 1
-        part = text[at + i : at + j]
-        lead, trail = len(part) - len(part.lstrip()), len(part) - len(part.rstrip(" \t\n.,;:"))
-        if part.strip() and _plausible(KINDS[kind], part):
-            yield KINDS[kind], at + i + lead, at + j - trail
+        yield from _bounded(KINDS[kind], text, at + i, at + j)
         i = j
 
 

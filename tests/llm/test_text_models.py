@@ -193,6 +193,9 @@ def test_added_spans_and_masking():
     net = pii.trained()
     text = "word and jane.roe [at] mail [dot] com is here, or +1 (826) 555-4081 190.137.2.9 later"
     base, spans = pii.all_spans(net, [text])[0]
+    assert {text[a:b] for _, a, b in spans} >= {"jane.roe [at] mail [dot] com", "+1 (826) 555-4081"}
+    clean = "the version 1.2.3 of 2024-05-06 at 10:30, he was at home and the dot was red, order 12345678 at $123.45"
+    assert pii.all_spans(net, [clean]) == [([], [])]
     assert set(base) <= set(spans) and spans == sorted(spans, key=lambda s: (pii.KINDS.index(s[0]), s[1]))
     assert pii.mask("ab a@b.c de", [("email", 3, 8)]) == "ab <EMAIL> de"
     assert pii.mask("0123456789", [("ip", 2, 6), ("card", 4, 8)]) == "01<IP>89"
