@@ -31,8 +31,14 @@ BUCKETS = 1 << 16
 SCRIPT_SHARE = 0.02
 #: log-odds of a word against the best language are cut here, so that one odd word can't decide
 WORD_CAP = 12.0
-#: bytes of text counted or labelled at once, a longer text alone
+#: bytes of text counted at once, a longer text alone
 BLOCK = 1 << 20
+#: bytes of text times languages labelled at once
+LABEL_BLOCK = 1 << 24
+#: words times languages scored at once
+SCORE_BLOCK = 1 << 17
+#: scores that a task remembers: words times languages
+HELD_SCORES = 1_000_000
 
 #: First and last code point of Unicode ranges, by script.
 SCRIPTS = [
@@ -173,23 +179,54 @@ def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return pc.list_flatten(lists), lengths
 
 
-def blocks(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with about BLOCK bytes in a text column."""
+def blocks(batch: pa.RecordBatch, column: int, size: int = BLOCK) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about ``size`` bytes in a text column."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-    number = np.cumsum(sizes, dtype=np.int64) // BLOCK
+    number = np.cumsum(sizes, dtype=np.int64) // size
     cuts = np.append(np.flatnonzero(np.append(True, number[1:] != number[:-1])), len(sizes)) if len(sizes) else [0]
     for lo, hi in zip(cuts[:-1], cuts[1:]):
         yield batch.slice(lo, hi - lo)
 
 
-def label_block(model: LanguageModel, texts: pa.Array) -> tuple[list[str], np.ndarray, list[list[tuple[str, int]]]]:
+class WordScores:
+    """Scores of words as they stand in texts, remembered up to a number of them: the first that a task
+    sees, so the frequent ones are among them."""
+
+    def __init__(self, model: LanguageModel, held: int = HELD_SCORES):
+        self.model = model
+        k = max(1, len(model.langs))
+        self._room = max(1, held // k)
+        self._at: dict[str, int] = {}
+        self._scores = np.zeros((self._room, len(model.langs)), np.float32)
+        self._letters = np.zeros(self._room, np.int64)
+
+    def look_up(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(words, languages) scores and the number of letters of each word; words are distinct."""
+        given = words.to_pylist()
+        get = self._at.get
+        at = np.array([get(w, -1) for w in given], np.int64)
+        scores, letters = self._scores[at], self._letters[at]
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            plain = letters_only(words.take(pa.array(new))).to_pylist()
+            step = max(1, SCORE_BLOCK // max(1, len(self.model.langs)))
+            for lo in range(0, len(new), step):
+                scores[new[lo : lo + step]] = self.model.word_scores(plain[lo : lo + step])
+            letters[new] = np.fromiter(map(len, plain), np.int64, len(plain))
+            kept = new[: self._room - len(self._at)]
+            slots = np.arange(len(self._at), len(self._at) + len(kept))
+            self._scores[slots], self._letters[slots] = scores[kept], letters[kept]
+            self._at.update(zip([given[i] for i in kept.tolist()], slots.tolist()))
+        return scores, letters
+
+
+def label_block(found: WordScores, texts: pa.Array) -> tuple[list[str], np.ndarray, list[list[tuple[str, int]]]]:
     """Language, score and spans (language, words) of each text."""
+    model = found.model
     words, lengths = split_words(texts)
     coded = words.dictionary_encode()
-    unique = letters_only(coded.dictionary).to_pylist()
     codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    table = model.word_scores(unique)
-    chars = np.fromiter(map(len, unique), np.int64, len(unique))
+    table, chars = found.look_up(coded.dictionary)
     scores = table[codes] if len(codes) else np.zeros((0, len(model.langs)), np.float32)
     path = viterbi(scores, lengths)
     weight = chars[codes].astype(np.float64) if len(codes) else np.zeros(0)
@@ -277,14 +314,21 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep
     spark = docs.sparkSession
     keep = keep if keep is not None else [c for c in docs.columns if c != text_col]
     shared = spark.sparkContext.broadcast(model)  # BUCKETS x MAX_LANGS numbers at most
-    kept = docs.select(*[F.col(c) for c in keep], F.col(text_col).cast("string").alias("_text"))
+    own = [f"_{i}" for i in range(len(keep))]
+    columns = [F.col(c).alias(x) for c, x in zip(keep, own)]
+    # a text that is kept goes to the workers once
+    at = keep.index(text_col) if text_col in keep and dict(docs.dtypes)[text_col] == "string" else len(keep)
+    kept = docs.select(*columns, *([F.col(text_col).cast("string").alias("_text")] if at == len(keep) else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = WordScores(shared.value)
+        size = max(1, LABEL_BLOCK // max(1, len(shared.value.langs)))
         for batch in batches:
-            for part in blocks(batch, batch.num_columns - 1):
-                langs, share, spans = label_block(shared.value, part.column(part.num_columns - 1))
+            for part in blocks(batch, at, size):
+                langs, share, spans = label_block(found, part.column(at))
                 typed = pa.array([[{"lang": a, "words": n} for a, n in s] for s in spans], pa.list_(pa.struct([("lang", pa.string()), ("words", pa.int64())])))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(langs, pa.string()), pa.array(share, pa.float64()), typed], names=[*part.schema.names[:-1], "lang_pred", "score", "spans"])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(own)], pa.array(langs, pa.string()), pa.array(share, pa.float64()), typed], names=[*own, "lang_pred", "score", "spans"])
 
-    types = ", ".join(f"`{c}` {t}" for c, t in kept.dtypes[:-1])
-    return kept.mapInArrow(run, f"{types + ', ' if types else ''}lang_pred string, score double, spans array<struct<lang: string, words: bigint>>")
+    types = "".join(f"{c} {t}, " for c, t in kept.dtypes[: len(own)])
+    found = kept.mapInArrow(run, f"{types}lang_pred string, score double, spans array<struct<lang: string, words: bigint>>")
+    return found.withColumnsRenamed(dict(zip(own, keep)))
