@@ -1,12 +1,14 @@
 """Main text of web pages: parser events, text-to-tag ratio, Gaussian smoothing, clustering.
 
 The standard library's parser is fed the page and its events are turned into lines: a block element
-or a line break ends a line. A line knows its text, the tags that fell into it and the region it
-lies in. Regions that say what they are (menus, headers, footers, sidebars, adverts, notices,
-forms, comments; by element, ARIA role or words of class and id) are marked as boilerplate while
-events stream by. Each line's text-to-tag ratio is smoothed along the page by a Gaussian, a
-threshold between the two clusters of ratios is found, and regions in which a smoothed line passes
-it are content. A content region is kept whole, so that a one-word paragraph of an article stays.
+or a line break ends a line. A line knows its text, how much of it is links, the tags that fell into
+it and the region it lies in: every block that can hold others is one, and lists and tables that
+aren't mostly links belong to the region around them. Each line's ratio of unlinked text to tags is
+smoothed by a Gaussian along the lines around it, a threshold between the two clusters of ratios is
+found, and regions whose smoothed ratio passes it are content, on every page. What a region says of
+itself (menus, headers, footers, sidebars, adverts, notices, forms, comments; articles; by element,
+ARIA role or words of class and id) shifts its ratio. A content region is kept whole, so that a
+one-word paragraph of an article stays.
 """
 
 from __future__ import annotations
@@ -23,11 +25,21 @@ from pyspark.sql import functions as F
 
 #: standard deviation of the smoothing, in lines
 SIGMA = 1.5
+#: what marks add to the logarithm of a region's ratio: an article; boilerplate by words, by element, hidden
+ARTICLE_WEIGHT = 1.5
+BOILERPLATE_WEIGHTS = (0.0, -4.0, -8.0, -np.inf)
+NAMED, ELEMENT, HIDDEN = 1, 2, 3
+#: cluster means of logarithms that lie nearer are one cluster: all of the page is alike
+LEAST_GAP = 2.0
 
 # Element names of HTML, by what they mean here.
 SILENT = frozenset("script style noscript template svg math canvas iframe object embed head title select option textarea button audio video map datalist".split())
 BOILERPLATE = frozenset("nav footer aside form dialog menu fieldset".split())
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
+#: blocks that are regions; of them, those that belong to the region around unless they are mostly links
+CONTAINERS = frozenset("section article main div center details".split())
+LISTS = frozenset("ul ol dl dir table td th".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: elements that an opening tag of the same group ends, as in HTML without closing tags
 IMPLIED_END = {"p": "p", "li": "li", "dt": "d", "dd": "d", "tr": "tr", "td": "t", "th": "t", "option": "option"}
@@ -55,41 +67,46 @@ _CAMEL = re.compile(r"([a-z])([A-Z])")
 class Line:
     text: str
     tags: int
-    #: number of the region the line lies in, and whether it is boilerplate or an article
+    #: number of the region the line lies in, how far it is marked as boilerplate, and whether it is an article
     region: int
-    boilerplate: bool
+    boilerplate: int
     article: bool
+    #: characters of the text that are links
+    linked: int = 0
+    heading: bool = False
 
 
 @dataclass
 class _Open:
     tag: str
     region: int
-    boilerplate: bool
+    boilerplate: int
     article: bool
     silent: bool = field(default=False)
 
 
-def _is_boilerplate(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -> bool:
-    if tag in BOILERPLATE or tag == "header" and not in_article:
-        return True
-    if not attrs:
-        return False
+def _boilerplate(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -> int:
+    """How far an element is marked as boilerplate: not at all, by a name or a form, by what it is, hidden."""
+    found = 0
+    if tag in BOILERPLATE:
+        found = NAMED if tag in ("form", "fieldset") else ELEMENT
+    elif tag == "header" and not in_article:
+        found = NAMED
     for name, value in attrs:
+        if name == "hidden":
+            return HIDDEN
         if not value:
             continue
-        if name == "role" and value.lower() in BOILERPLATE_ROLES:
-            return True
-        if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
         if name == "style" and "display:none" in value.replace(" ", "").lower():
-            return True
-        if name in ("class", "id") and tag not in ("html", "body"):
+            return HIDDEN
+        if name == "aria-hidden" and value.lower() == "true" or name == "role" and value.lower() in BOILERPLATE_ROLES:
+            found = ELEMENT
+        elif not found and name in ("class", "id") and tag not in ("html", "body"):
             words = {w.lower() for w in _WORDS.findall(_CAMEL.sub(r"\1 \2", _LAYOUT.sub(" ", value)))}
             named = ON_CONTENT if tag in CONTENT else BOILERPLATE_WORDS if in_article else _OUTSIDE_WORDS
             if not words.isdisjoint(named):
-                return True
-    return any(name == "hidden" for name, _ in attrs)
+                found = NAMED
+    return found
 
 
 class LineParser(HTMLParser):
@@ -98,8 +115,11 @@ class LineParser(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        self._stack: list[_Open] = [_Open("", 0, False, False)]
-        self._regions = 0
+        self._stack: list[_Open] = [_Open("", 0, 0, False)]
+        #: for each region the one around it, and whether it is a list
+        self.regions: list[tuple[int, bool]] = [(0, False)]
+        self._links = 0
+        self._linked = 0
         self._text: list[str] = []
         self._tags = 0
 
@@ -111,8 +131,8 @@ class LineParser(HTMLParser):
         text = " ".join("".join(self._text).split())
         top = self._stack[-1]
         if text:
-            self.lines.append(Line(text, self._tags, top.region, top.boilerplate, top.article))
-            self._tags = 0
+            self.lines.append(Line(text, self._tags, top.region, top.boilerplate, top.article, min(self._linked, len(text)), any(o.tag in HEADINGS for o in self._stack[-3:])))
+            self._tags = self._linked = 0
         self._text.clear()
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -133,14 +153,16 @@ class LineParser(HTMLParser):
             while len(self._stack) > 1 and self._stack[-1].silent:
                 self._stack.pop()
             top = self._stack[-1]
-        bad = top.boilerplate or tag in _MARKABLE and _is_boilerplate(tag, attrs, top.article)
+        bad = max(top.boilerplate, _boilerplate(tag, attrs, top.article)) if tag in _MARKABLE else top.boilerplate
         article = top.article or tag in CONTENT
         region = top.region
-        if (bad != top.boilerplate) or (article != top.article) or tag in ("section", "article", "main"):
+        changes = bad != top.boilerplate or article != top.article
+        if changes or tag in CONTAINERS or tag in LISTS:
             if tag not in BLOCKS:
                 self._end_line()
-            self._regions += 1
-            region = self._regions
+            self.regions.append((region, tag in LISTS and not changes))
+            region = len(self.regions) - 1
+        self._links += tag == "a"
         self._stack.append(_Open(tag, region, bad, article, tag in SILENT))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -168,11 +190,14 @@ class LineParser(HTMLParser):
             if tag in BLOCKS or changes or any(o.tag in BLOCKS for o in self._stack[at:]):
                 self._end_line()
             self._tags += 1
+        self._links -= sum(o.tag == "a" and not o.silent for o in self._stack[at:])
         del self._stack[at:]
 
     def handle_data(self, data: str) -> None:
         if not self._stack[-1].silent:
             self._text.append(data)
+            if self._links:
+                self._linked += len(data.strip())
 
     def done(self) -> list[Line]:
         self.close()
@@ -181,8 +206,8 @@ class LineParser(HTMLParser):
 
 
 def tag_ratios(lines: list[Line]) -> np.ndarray:
-    """Characters of text for each tag of a line."""
-    return np.array([len(x.text) / max(1, x.tags) for x in lines], float)
+    """Characters of unlinked text for each tag of a line."""
+    return np.array([(len(x.text) - x.linked) / max(1, x.tags) for x in lines], float)
 
 
 def smooth(values: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -196,8 +221,8 @@ def smooth(values: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return full / weight
 
 
-def threshold(values: np.ndarray) -> float:
-    """The mean of the two cluster means that one-dimensional 2-means finds from the extremes."""
+def clusters(values: np.ndarray) -> tuple[float, float]:
+    """The two means that one-dimensional 2-means finds from the extremes."""
     low, high = float(values.min()), float(values.max())
     for _ in range(50):
         cut = (low + high) / 2
@@ -208,25 +233,66 @@ def threshold(values: np.ndarray) -> float:
         if new == (low, high):
             break
         low, high = new
+    return low, high
+
+
+def threshold(values: np.ndarray) -> float:
+    """The mean of the two cluster means."""
+    low, high = clusters(values)
     return (low + high) / 2
 
 
-def select_lines(lines: list[Line]) -> list[str]:
+def merged_regions(lines: list[Line], regions: list[tuple[int, bool]]) -> list[int]:
+    """The region that each region belongs to: lists that aren't mostly links go to the one around them."""
+    size, linked = np.zeros(len(regions)), np.zeros(len(regions))
+    for x in lines:
+        size[x.region] += len(x.text)
+        linked[x.region] += x.linked
+    for r in range(len(regions) - 1, 0, -1):  # cells count in their table
+        around = regions[r][0]
+        if regions[around][1]:
+            size[around] += size[r]
+            linked[around] += linked[r]
+    own = list(range(len(regions)))
+    for r, (around, is_list) in enumerate(regions):
+        if r and is_list and 2 * linked[r] < size[r]:
+            own[r] = own[around]
+    return own
+
+
+def select_lines(lines: list[Line], regions: list[tuple[int, bool]]) -> list[str]:
     """Texts of the lines in content regions, in page order."""
-    left = [x for x in lines if not x.boilerplate]
-    if any(x.article for x in left):
-        left = [x for x in left if x.article]
-    if not left:
+    if not lines:
         return []
-    # the ratio of regions marked as boilerplate takes part in finding the threshold, at half weight
-    smoothed = smooth(tag_ratios(left))
-    logs = np.log1p(smoothed)
-    others = np.log1p(tag_ratios([x for x in lines if x.boilerplate]) / 2)
-    cut = min(threshold(np.concatenate([logs, others])), float(logs.max()))
-    content = {x.region for x, v in zip(left, logs) if v >= cut}
-    if any(x.article for x in left):
-        content |= {x.region for x in left}
-    return [x.text for x in left if x.region in content]
+    own = merged_regions(lines, regions)
+    at: dict[int, list[int]] = {}
+    for i, x in enumerate(lines):
+        at.setdefault(own[x.region], []).append(i)
+    # blocks of one line are smoothed with those beside them, as paragraphs are, and one that is a heading
+    # with what it heads; a region of more lines by itself; links never with text
+    runs: dict[tuple, list[int]] = {}
+    after = None
+    for i in range(len(lines) - 1, -1, -1):
+        x, r = lines[i], own[lines[i].region]
+        alone = len(at[r]) == 1 and r > 0
+        key = (alone, own[regions[r][0]] if alone else r, x.boilerplate, x.article, alone and 2 * x.linked >= len(x.text))
+        if alone and x.heading and after and after[2:] == key[2:]:
+            key = after
+        runs.setdefault(key, []).append(i)
+        after = key
+    ratios, logs = tag_ratios(lines), np.zeros(len(lines))
+    for members in runs.values():
+        logs[members] = np.log1p(smooth(ratios[members]))
+    low, high = clusters(logs)
+    split = high - low >= LEAST_GAP
+    cut = (low + high) / 2 if split else float(logs.min())
+    weights = np.array([len(x.text) for x in lines], float)
+    scores = {r: float(np.average(logs[m], weights=weights[m])) for r, m in at.items()}
+    marks = {r: (lines[m[0]].boilerplate, lines[m[0]].article) for r, m in at.items()}
+    content = {r for r, v in scores.items() if v + (BOILERPLATE_WEIGHTS[marks[r][0]] or ARTICLE_WEIGHT * marks[r][1]) >= cut - 1e-9}
+    if not content and split:  # a form or a name around the whole page says nothing
+        content = {r for r, v in scores.items() if marks[r][0] <= NAMED and v >= cut}
+    return [x.text for x in lines if own[x.region] in content]
 
 
 def main_text(html: str | None) -> str:
@@ -235,7 +301,7 @@ def main_text(html: str | None) -> str:
         return ""
     parser = LineParser()
     parser.feed(html)
-    return " ".join(select_lines(parser.done()))
+    return " ".join(select_lines(parser.done(), parser.regions))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

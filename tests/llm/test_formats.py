@@ -58,6 +58,22 @@ def test_html_steps():
     assert [x.text for x in parser.done()] == ["a", "b", "c"]
 
 
+MENU = "<div><a href=1>Home</a> <a href=2>Shop</a></div><ul>" + "".join(f"<li><a href={i}>Item {i}</a></li>" for i in range(8)) + "</ul>"
+
+
+@pytest.mark.parametrize("body,want", [
+    (f"<div>{MENU}</div><div><h1>Head</h1><p>{LONG}</p><p>One.</p></div><div>Buy our shoes!</div>", f"Head {LONG.strip()} One."),
+    (f"<div><a href=1>Home</a></div><div>{LONG}</div><div>One.</div><div>{LONG}</div>", f"{LONG.strip()} One. {LONG.strip()}"),
+    (f"{MENU}<p>{LONG}</p><p>One.</p><div><a href=ad>Buy our shoes!</a></div>", f"{LONG.strip()} One."),
+    (f"<div><h1>Head</h1></div><div><p>{LONG}</p><p>One.</p></div><div>{MENU}</div>", f"Head {LONG.strip()} One."),
+    (f"<article><h1>Head</h1><p>{LONG}</p>{MENU}<table><tr><td>a<td>b</table></article><div><p>{LONG}</p><p>{LONG}</p></div>", f"Head {LONG.strip()} a b {LONG.strip()} {LONG.strip()}"),
+    (f"<form id=f>{MENU}<div><p>{LONG}</p><p>One.</p></div></form>", f"{LONG.strip()} One."),
+    (f"<div hidden><p>{LONG}</p></div><p>{LONG}</p>", LONG.strip()),
+])
+def test_ratio_chooses_unmarked_blocks(body, want):
+    assert main_text(page(body)) == want
+
+
 def test_html_query(spark):
     got = queries.QUERIES["op4_html"](spark, SF).collect()
     assert len(got) == 50 and all(r["n_chars"] == len(r["text"]) and r["text"] for r in got)
