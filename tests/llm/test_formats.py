@@ -285,3 +285,24 @@ def test_search(spark):
         assert {x["id"] for x in got[q]["links"]} <= set(want) and got[q]["n_links"] >= len(want)
         assert all(x["offset"] == 0 and x["bit_error"] == 0 for x in got[q]["links"])
     assert chroma.align_recordings(media.limit(0), "id").count() == 0
+
+
+def test_every_link_is_returned(spark):
+    rows = [(i, tune(i % 2)) for i in range(60)] + [(None, tune(0)), (80, b"no audio")]
+    media = spark.createDataFrame(rows, "id long, audio binary")
+    found = chroma.all_links(media, "id").collect()
+    for q in (0, 20, 40):
+        mine = [r for r in found if r["query_id"] == q]
+        ids = [r["link_id"] for r in mine if r["link_id"] is not None]
+        assert len(ids) == len(set(ids)) and set(ids) >= set(range(0, 60, 2)) - {q} and len(mine) == len(ids) + 1
+        assert all((r["offset"], r["bit_error"]) == (0, 0) for r in mine if r["link_id"] is None or r["link_id"] % 2 == 0)
+    assert [tuple(r) for r in found if r["query_id"] == 80] == [(80, None, None, None)]
+    assert chroma.all_links(media.limit(0), "id").count() == 0
+
+
+def test_chroma_query_has_a_row_for_each_link(spark, tmp_path):
+    rows = [(i, [float(x) for x in np.random.default_rng(i % 2).normal(size=64)]) for i in range(42)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = queries.QUERIES["op7_chroma"](spark, str(tmp_path))
+    assert got.columns == ["vec_id", "link_id", "offset", "bit_error"]
+    assert {(r["vec_id"], r["link_id"]) for r in got.collect()} >= {(q, i) for q in (0, 20, 40) for i in range(0, 42, 2) if i != q}
