@@ -27,7 +27,9 @@ KINDS = ("email", "ip", "card", "phone")
 WINDOW, STRIDE = 80, 40
 #: characters of context around a trigger
 MARGIN = 36
-TRIGGER = re.compile(r"[0-9@]|[\[({]\s?(?:at|dot)\s?[\])}]|\sdot\s")
+#: what every form of the kinds holds, in any case and with any blanks in brackets; a spelled at counts where
+#: a long host and a spelled dot follow, as it lies too far from that dot
+TRIGGER = re.compile(r"[0-9@]|\sat\s\s*[\w-]{20,}+\s*(?:[\[({]\s*dot\s*[\])}]|(?<=\s)dot\s)|[\[({]\s*(?:at|dot)\s*[\])}]|\sdot\s", re.I)
 #: windows scored at once
 BATCH = 512
 

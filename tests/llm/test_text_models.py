@@ -189,6 +189,35 @@ def test_network_finds_held_out_spans():
     assert hit / made > 0.75
 
 
+SPELLED = ["john AT example DOT com", "john [AT] example [DOT] com", "john(At)example.com", "john{AT}example{DOT}org", "john At example Dot com", "john [  AT  ] example [  DOT  ] com", "john at example dot com"]
+
+
+def test_spelled_addresses_are_scored_in_any_case():
+    net = pii.trained()
+    before = "word and some other words are here before it "
+    found = 0
+    for form in SPELLED:
+        text = before + form + " is here and more words follow after"
+        assert any(a <= len(before) and len(before) + len(form) <= b for a, b in pii.stretches(text)), form
+        found += any(text[a:b] == form for _, a, b in pii.model_spans(net, [text])[0])
+    assert found >= len(SPELLED) - 1
+    assert pii.stretches("the people AT home were looking at the (attic) and the DOTS") == []
+
+
+def test_recall_of_model_spans_alone():
+    net, maker = pii.trained(), pii._Maker(321)
+    hit = made = 0
+    for _ in range(200):
+        before = " ".join(maker.word() for _ in range(9)) + " "
+        span = getattr(maker, maker.pick("email", "ip", "phone"))()
+        text = before + span + " " + " ".join(maker.word() for _ in range(9))
+        assert any(a <= len(before) and b >= len(before) + len(span) for a, b in pii.stretches(text)) or len(span) > 36, span
+        got = {i for _, a, b in pii.model_spans(net, [text])[0] for i in range(a, b)}
+        want = set(range(len(before), len(before) + len(span)))
+        hit, made = hit + len(want & got), made + len(want)
+    assert hit / made > 0.8
+
+
 def test_added_spans_and_masking():
     net = pii.trained()
     text = "word and jane.roe [at] mail [dot] com is here, or +1 (826) 555-4081 190.137.2.9 later"
