@@ -16,7 +16,10 @@ BROADCAST_ROWS = 200_000
 #: A key is hot when it holds at least one row in this many, so there are never more hot keys.
 HOT_SHARE = 1_000
 #: ... and at least this many rows.
-HOT_ROWS = 5_000
+HOT_ROWS = 256
+#: parts that a group of rows is dealt to where a summary is too large to broadcast
+SALT = 64
+
 
 def shared_root(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
@@ -86,14 +89,17 @@ def hot_split_join(left: DataFrame, right: DataFrame, key: str, counts: DataFram
     return cold.unionByName(warm)
 
 
-def join_small(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+def join_small(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", by: str | None = None) -> DataFrame:
     """Join to a summary with one row per group. The summary is counted: up to BROADCAST_ROWS it
-    is broadcast; beyond that both sides are salted 64-fold, so that no group meets in one task."""
+    is broadcast; beyond that both sides are salted, so that no group meets in one task. The salt is a
+    hash of the column ``by`` (of all columns where none is named), so that a task which runs again
+    deals its rows alike."""
     n = right.limit(BROADCAST_ROWS + 1).count()
     if n <= BROADCAST_ROWS:
         return left.join(F.broadcast(right), keys, how)
-    salted = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(63))))
-    return left.withColumn("_salt", (F.rand(7) * 64).cast("int")).join(salted, [*keys, "_salt"], how).drop("_salt")
+    salted = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    own = F.xxhash64(*([by] if by else [F.col(f"`{c}`") for c in left.columns]))
+    return left.withColumn("_salt", F.pmod(own, F.lit(SALT)).cast("int")).join(salted, [*keys, "_salt"], how).drop("_salt")
 
 
 def open_filesystem(uri: str):

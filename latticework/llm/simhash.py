@@ -1,20 +1,25 @@
 """SimHash near-duplicate groups: fingerprints compared as vertical bit planes.
 
-A fingerprint is 64 bits. Fingerprints that differ in at most ``radius`` = 3 bits agree on at least
-one of four 16-bit blocks, so every link is found inside one of the 4 * 65,536 blocks' buckets.
-Inside a bucket the bits are stored vertically: plane b holds bit b of 64 fingerprints in each
-machine word. XOR with a query's bit gives one difference bit per fingerprint, and a carry-save
-counter of bit_length(radius) planes adds it to 64 distances with a few word operations; an
-overflow plane marks distances over the radius. After every eight planes the words in which all
-64 have overflowed are abandoned.
+A fingerprint is 64 bits, cut into radius + k blocks. Fingerprints that differ in at most ``radius``
+bits agree on k blocks at least, so every link is found under one of the choices of k blocks, whose
+bits are the key of a bucket. k is the least for which a bucket holds ``PER_BUCKET`` of that many
+fingerprints on average (four blocks for a million, ten pairs of five for a thousand millions); the
+links found are the same for every k.
+
+Inside buckets the bits are stored vertically: plane b holds bit b of 64 fingerprints in each machine
+word, and small buckets take a word each. XOR with a query's bit gives one difference bit per
+fingerprint, and a carry-save counter of bit_length(radius) planes adds it to 64 distances with a few
+word operations; an overflow plane marks distances over the radius. After every eight planes the
+words in which all 64 have overflowed are abandoned.
 
 A bucket hands on a spanning forest of its links, not its pairs: connectivity is whole and the rows
-are fewer than the fingerprints. Buckets over ``CHUNK`` fingerprints are cut into chunks by a hash,
-and each pair of chunks is a task of its own, so none grows without bound.
+are fewer than the fingerprints. Buckets over ``CHUNK`` fingerprints are dealt as chunks and pairs of
+chunks (see ``buckets``).
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,13 +29,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_split_join, write_shared
-from .components import components
+from .buckets import bucket_starts, crowded_keys, deal, spanning, whole_buckets
+from .common import hot_split_join, with_row_key, write_shared
+from .components import components, least_by
 
 RADIUS = 3
 SHINGLE = 3
 SEED = 42
 CHUNK = 2048
+#: fingerprints of a bucket on average, at most
+PER_BUCKET = 64
+#: words compared with a query each at once
+PAIRS = 1 << 16
 #: hashes whose bits are counted at once
 SLICE = 1 << 17
 
@@ -108,46 +118,46 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["id", "fp"])
 
 
-def within_radius(fps: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """(n, ceil(n / 64)) bit matrix: bit j of row i is set if fingerprints i and j differ in at most
-    ``radius`` bits. Bit-sliced: see the module."""
-    n = len(fps)
-    words = -(-n // 64)
-    planes = np.zeros((64, words), np.uint64)
-    bits = ((fps[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8)
-    packed = np.packbits(bits.T, axis=1, bitorder="little")
-    full = np.zeros((64, words * 8), np.uint8)
-    full[:, : packed.shape[1]] = packed
-    planes[:] = full.view("<u8")
-    flips = (bits.T.astype(np.uint64) * np.uint64(0xFFFFFFFFFFFFFFFF))
-    ones = np.uint64(0xFFFFFFFFFFFFFFFF)
-    tail = np.full(words, ones)
-    if n % 64:
-        tail[-1] = np.uint64((1 << (n % 64)) - 1)
-    out = np.zeros((n, words), np.uint64)
+_ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
+
+
+def bit_planes(fps: np.ndarray, place: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(64, words) bit planes of fingerprints stored at the lanes ``place`` of 64-lane words, and the
+    words whose set bits say which lanes are taken."""
+    lanes = np.zeros((65, words * 64), np.uint8)
+    lanes[:64, place] = ((fps >> np.arange(64, dtype=np.uint64)[:, None]) & np.uint64(1)).astype(np.uint8)
+    lanes[64, place] = 1
+    packed = np.packbits(lanes, axis=1, bitorder="little").view("<u8")
+    return packed[:64], packed[64]
+
+
+def near_words(planes: np.ndarray, taken: np.ndarray, fps: np.ndarray, q: np.ndarray, w: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(q, w, near) for those pairs of a query ``fps[q]`` and a word w of the planes in which a lane is within
+    the radius; bit j of near is lane j's. Bit-sliced: see the module."""
     levels = max(1, radius.bit_length())
-    step = max(1, (1 << 16) // words)
-    for lo in range(0, n, step):
-        q = np.repeat(np.arange(lo, min(n, lo + step)), words)
-        w = np.tile(np.arange(words), min(n, lo + step) - lo)
-        over = ~tail[w]
-        counter = [np.zeros(len(q), np.uint64) for _ in range(levels)]
+    found = []
+    for lo in range(0, len(q), PAIRS):
+        qs, ws = q[lo : lo + PAIRS], w[lo : lo + PAIRS]
+        own = fps[qs]
+        over = ~taken[ws]
+        counter = [np.zeros(len(qs), np.uint64) for _ in range(levels)]
         for b in range(64):
-            carry = planes[b][w] ^ flips[b][q]
+            # the query's bit, in all 64 lanes
+            carry = planes[b][ws] ^ (np.uint64(0) - ((own >> np.uint64(b)) & np.uint64(1)))
             for k in range(levels):
                 counter[k], carry = counter[k] ^ carry, counter[k] & carry
             over |= carry
             if b % 8 == 7:
-                alive = over != ones
+                alive = over != _ONES
                 if not alive.all():
-                    q, w, over = q[alive], w[alive], over[alive]
+                    qs, ws, own, over = qs[alive], ws[alive], own[alive], over[alive]
                     counter = [c[alive] for c in counter]
-                    if not len(q):
+                    if not len(qs):
                         break
-        if len(q):
+        if len(qs):
             near = ~over
             if radius + 1 != 1 << levels:  # the counter can hold more than the radius
-                more, same = np.zeros(len(q), np.uint64), np.full(len(q), ones)
+                more, same = np.zeros(len(qs), np.uint64), np.full(len(qs), _ONES)
                 for k in reversed(range(levels)):
                     if radius >> k & 1:
                         same = same & counter[k]
@@ -155,95 +165,93 @@ def within_radius(fps: np.ndarray, radius: int = RADIUS) -> np.ndarray:
                         more |= same & counter[k]
                         same = same & ~counter[k]
                 near &= ~more
-            out[q, w] = near
-    return out
-
-
-def spanning_links(fps: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
-    """Index pairs that connect what the radius connects, fewer than there are fingerprints."""
-    near = within_radius(fps, radius)
-    n = len(fps)
-    own = np.zeros_like(near)
-    own[np.arange(n), np.arange(n) // 64] = np.uint64(1) << (np.arange(n, dtype=np.uint64) % np.uint64(64))
-    linked = np.flatnonzero((near & ~own).any(axis=1))
-    left = np.zeros(n, bool)
-    left[linked] = True
-    links = []
-    for seed in linked:
-        if not left[seed]:
-            continue
-        left[seed] = False
-        stack = [seed]
-        while stack:
-            i = stack.pop()
-            row = np.unpackbits(near[i].view(np.uint8), bitorder="little")[:n].astype(bool) & left
-            found = np.flatnonzero(row)
-            left[found] = False
-            links += [(i, j) for j in found]
-            stack += found.tolist()
+            some = near != 0
+            found.append((qs[some], ws[some], near[some]))
+    if not found:
+        nothing = np.zeros(0, np.int64)
+        return nothing, nothing, np.zeros(0, np.uint64)
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def bucket_links(fps: np.ndarray, starts: np.ndarray, side: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
+    """Index pairs that connect what the radius connects in each bucket, which begin at ``starts`` (and
+    the last ends there). Rows of side 0 are compared with those of side 1, in buckets that have them,
+    and with each other in others."""
+    sizes = np.diff(starts)
+    bucket = np.repeat(np.arange(len(sizes)), sizes)
+    across = np.bincount(bucket, weights=side, minlength=len(sizes)) > 0
+    stored = np.flatnonzero((side == 1) | ~across[bucket])
+    lanes = np.bincount(bucket[stored], minlength=len(sizes))
+    words = -(-lanes // 64)
+    first_word = np.cumsum(words) - words
+    rank = np.arange(len(stored)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
+    place = first_word[bucket[stored]] * 64 + rank
+    row_at = np.full(int(words.sum()) * 64, -1)
+    row_at[place] = stored
+    planes, taken = bit_planes(fps[stored], place, int(words.sum()))
+    asking = np.flatnonzero(side == 0)
+    times = words[bucket[asking]]
+    q = np.repeat(asking, times)
+    w = np.arange(len(q)) - np.repeat(np.cumsum(times) - times, times) + first_word[bucket[q]]
+    q, w, near = near_words(planes, taken, fps, q, w, radius)
+    # a fingerprint is near to itself
+    mine = np.zeros(len(fps), np.int64) - 1
+    mine[stored] = place
+    itself = (mine[q] >= 0) & (mine[q] // 64 == w)
+    near[itself] &= ~(np.uint64(1) << (mine[q[itself]] % 64).astype(np.uint64))
+    some = near != 0
+    q, w, near = q[some], w[some], near[some]
+    links: list[tuple[int, int]] = []
+    edges = np.flatnonzero(np.append(True, bucket[q][1:] != bucket[q][:-1])) if len(q) else []
+    for lo, hi in zip(edges, np.append(edges[1:], len(q)) if len(q) else []):
+        at = int(starts[bucket[q[lo]]])
+        cuts = lo + np.append(np.flatnonzero(np.append(True, q[lo:hi][1:] != q[lo:hi][:-1])), hi - lo)
+        where = {int(q[a]) - at: (a, b) for a, b in zip(cuts[:-1], cuts[1:])}
+
+        def found(i: int, group: np.ndarray, where=where, at=at) -> np.ndarray:
+            a, b = where[i]
+            bits = np.unpackbits(near[a:b].view(np.uint8).reshape(b - a, 8), axis=1, bitorder="little").astype(bool)
+            return (row_at[w[a:b, None] * 64 + np.arange(64)])[bits] - at
+
+        links += [(i + at, j + at) for i, j in spanning(int(sizes[bucket[q[lo]]]), where, found)]
     return links
 
 
 def _bucket_links(radius: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Frames come sorted by bucket; a bucket may go on into the next frame."""
-
-        def links(fps: np.ndarray) -> pd.DataFrame | None:
-            found = spanning_links(fps, radius)
-            if not found:
-                return None
-            i, j = np.array(found).T
-            return pd.DataFrame({"a": fps[i].view(np.int64), "b": fps[j].view(np.int64)})
-
-        key, held = None, []
-        for frame in frames:
-            keys = frame["bucket"].to_numpy()
+        for frame in whole_buckets(frames):
             fps = frame["fp"].to_numpy().view(np.uint64)
-            cuts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else []
-            ends = np.append(cuts[1:], len(keys)) if len(keys) else []
-            out = []
-            for s, e in zip(cuts, ends):
-                if keys[s] != key:
-                    if sum(map(len, held)) > 1:
-                        out.append(links(np.concatenate(held)))
-                    key, held = keys[s], []
-                held.append(fps[s:e])
-            out = [x for x in out if x is not None]
-            if out:
-                yield pd.concat(out)
-        if sum(map(len, held)) > 1 and (last := links(np.concatenate(held))) is not None:
-            yield last
+            found = bucket_links(fps, bucket_starts(frame), frame["side"].to_numpy(), radius)
+            if found:
+                i, j = np.array(found).T
+                yield pd.DataFrame({"a": fps[i].view(np.int64), "b": fps[j].view(np.int64)})
 
     return run
 
 
-def fingerprint_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
+def blocks_to_agree(n: int, radius: int, per_bucket: int | None = None) -> int:
+    """k: of radius + k blocks so many agree in each key. The least whose buckets are small enough."""
+    k = 1
+    while n > (per_bucket or PER_BUCKET) * 2.0 ** (64 * k // (radius + k)) and k < 4:
+        k += 1
+    return k
+
+
+def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, per_bucket: int | None = None) -> DataFrame:
     """Links (a, b) between the distinct fingerprints of column ``fp`` (long) that connect all
-    fingerprints within the radius of one another. Works for radius 0 to 15 (radius + 1 blocks)."""
-    blocks = radius + 1
+    fingerprints within the radius of one another. Works for radius 0 to 15."""
+    k = blocks_to_agree(distinct.count(), radius, per_bucket)
+    blocks = radius + k
     edges = [64 * i // blocks for i in range(blocks + 1)]
-    parts = []
-    for i in range(blocks):
-        width = edges[i + 1] - edges[i]
-        mask = F.lit(-1 if width == 64 else (1 << width) - 1).cast("long")
-        block = F.shiftrightunsigned("fp", edges[i]).bitwiseAND(mask)
-        parts.append(F.struct(F.lit(i).alias("i"), block.alias("v")))
-    rows = distinct.select("fp", F.explode(F.array(*parts)).alias("k")).select("fp", "k.i", "k.v")
-    sizes = rows.groupBy("i", "v").agg(F.count("*").alias("n"))
-    # buckets over CHUNK hold a share of the rows each: there are at most rows / CHUNK of them
-    crowded = sizes.filter(F.col("n") > CHUNK).withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int")).drop("n")
-    # buckets of one row have no link
-    useful = rows.join(sizes.filter("n > 1").drop("n"), ["i", "v"], "left_semi")
-    rows = useful.join(crowded, ["i", "v"], "left")
-    own = F.pmod(F.xxhash64("fp", F.lit(11)), F.col("chunks")).cast("int")
-    with_others = F.transform(
-        F.sequence(F.lit(0), F.col("chunks") - 1),
-        lambda j: F.struct(F.least(own, j).alias("x"), F.greatest(own, j).alias("y")),
-    )
-    alone = F.array(F.struct(F.lit(0).alias("x"), F.lit(0).alias("y")))
-    dealt = rows.select("fp", "i", "v", F.explode(F.coalesce(with_others, alone)).alias("p"))
-    dealt = dealt.select(F.xxhash64("i", "v", "p.x", "p.y").alias("bucket"), "fp")
-    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(_bucket_links(radius), "a long, b long")
+    whole = [((1 << (edges[i + 1] - edges[i])) - 1) << edges[i] for i in range(blocks)]
+    keys = []
+    for number, chosen in enumerate(itertools.combinations(whole, k)):
+        mask = sum(chosen)
+        keys.append(F.xxhash64(F.lit(number), F.col("fp").bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("long"))))
+    rows = distinct.select("fp", F.explode(F.array(*keys)).alias("key"))
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n"))
+    crowded = write_shared(crowded_keys(sizes, "key", CHUNK), "crowded")
+    return deal(rows, "key", "fp", crowded).select("bucket", "side", "fp").mapInPandas(_bucket_links(radius), "a long, b long")
 
 
 def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -252,6 +260,19 @@ def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return rows.mapInArrow(_fingerprint_batches, "id long, fp long")
 
 
+def group_firsts(rows: DataFrame, first: str, radius: int = RADIUS) -> DataFrame:
+    """(fp, n, first) for each fingerprint of ``rows`` (fp and the column ``first``): its number of rows, and the least
+    ``first`` of its group. Fingerprints without a link take no part in the rounds; a group that holds a
+    third of all is met in parts."""
+    per_fp = write_shared(rows.groupBy("fp").agg(F.min(first).alias("own"), F.count("*").alias("n")), "distinct")
+    roots = write_shared(components(fingerprint_links(per_fp.select("fp"), radius), "a", "b"), "roots")
+    linked = write_shared(per_fp.join(roots.withColumnRenamed("node", "fp"), "fp"), "linked")
+    least = write_shared(least_by(linked, "root", "own", "fp").withColumnRenamed("n", "members"), "firsts")
+    together = hot_split_join(linked, least.select("root", "m"), "root", least.select("root", F.col("members").alias("n")), linked.count())
+    alone = per_fp.join(roots.withColumnRenamed("node", "fp"), "fp", "left_anti")
+    return together.select("fp", "n", F.col("m").alias("first")).unionByName(alone.select("fp", "n", F.col("own").alias("first")))
+
+
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """(id, fp, component_id) for every row of ``docs``.
 
@@ -261,19 +282,23 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     repeated; an empty table gives an empty table; other columns are ignored.
     """
     rows = write_shared(fingerprint_table(docs, id_col, text_col), "fingerprints")
-    per_fp = write_shared(rows.groupBy("fp").agg(F.min("id").alias("first_id"), F.count("*").alias("n")), "distinct")
-    roots = components(fingerprint_links(per_fp.select("fp"), radius), "a", "b")
-    grouped = per_fp.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    firsts = grouped.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    labels = write_shared(grouped.select("fp", "root").join(firsts, "root").select("fp", "component_id"), "groups")
-    return hot_split_join(rows, labels, "fp", per_fp.select("fp", "n"), rows.count()).select("id", "fp", "component_id")
+    labels = write_shared(group_firsts(rows, "id", radius), "groups")
+    joined = hot_split_join(rows, labels.select("fp", F.col("first").alias("component_id")), "fp", labels.select("fp", "n"), rows.count())
+    return joined.select("id", "fp", "component_id")
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """One document of each group stays: the one with the smallest id, and of rows that repeat
-    that id one. A row without an id can't be told from its copies and stays. The columns of
-    ``docs`` come back as they were."""
-    groups = simhash_groups(docs.select(id_col, text_col), id_col, text_col, radius)
-    keep = groups.filter(F.col("id") == F.col("component_id")).select("id").distinct()
-    kept = docs.join(keep.withColumnRenamed("id", "_keep"), F.col(id_col).cast("long") == F.col("_keep"), "left_semi")
-    return kept.dropDuplicates([id_col]).unionByName(docs.filter(F.col(id_col).isNull()))
+    """One row of each group stays: the one with the smallest id, of several with that id any one of them;
+    rows without an id come last. Which rows go is decided by row, not by id, so that rows which share an id
+    or have none lose nothing but copies. The columns of ``docs`` come back as they were; an empty table
+    gives an empty table.
+    """
+    own = docs.columns
+    keyed = write_shared(with_row_key(docs, "_row"), "rows")
+    rows = fingerprint_table(keyed.select("_row", text_col), "_row", text_col).withColumnRenamed("id", "_row")
+    ids = keyed.select("_row", F.col(f"`{id_col}`").cast("long").alias("_id")) if id_col in own else keyed.select("_row", F.lit(None).cast("long").alias("_id"))
+    rows = write_shared(rows, "fingerprints").join(ids, "_row")
+    order = F.struct(F.col("_id").isNull().alias("without"), F.col("_id").alias("id"), F.col("_row").alias("row"))
+    firsts = group_firsts(rows.select("fp", order.alias("place")), "place", radius)
+    kept = firsts.select(F.col("first.row").alias("_row")).distinct()
+    return keyed.join(kept, "_row", "left_semi").select(*[F.col(f"`{c}`") for c in own])

@@ -2,9 +2,12 @@ import numpy as np
 import pytest
 import xxhash
 
+from latticework.llm import common, queries
 from latticework.llm import components as comp
 from latticework.llm import simhash as sh
 
+SF = "/root/testdata/sf0.001"
+
 DOCS = "doc_id long, text string"
 
 
@@ -47,39 +50,54 @@ def test_bit_sliced_comparison(radius):
         fps[i] = fps[i - 65]
         for b in rng.choice(64, rng.integers(0, 7), replace=False):
             fps[i] ^= np.uint64(1) << np.uint64(b)
-    near = np.unpackbits(sh.within_radius(fps, radius).view(np.uint8), axis=1, bitorder="little")[:, :130].astype(bool)
     want = np.array([[(int(a) ^ int(b)).bit_count() <= radius for b in fps] for a in fps])
-    assert (near == want).all()
-    links = sh.spanning_links(fps, radius)
-    assert len(links) < 130 and all(want[i, j] for i, j in links)
-
-
-def linked(spark, fps, chunk, monkeypatch):
-    monkeypatch.setattr(sh, "CHUNK", chunk)
-    rows = spark.createDataFrame([(int(np.uint64(f).astype(np.int64)),) for f in sorted(set(fps))], "fp long")
-    pairs = sh.fingerprint_links(rows).collect()
-    index = {int(np.uint64(f).astype(np.int64)): i for i, f in enumerate(sorted(set(fps)))}
-    return [(index[a], index[b]) for a, b in pairs]
-
-
-@pytest.mark.parametrize("chunk", [2048, 16])
-def test_links_span_what_the_radius_connects(spark, monkeypatch, chunk):
-    """Crowded buckets, cut into chunks, lose no link."""
-    rng = np.random.default_rng(3)
-    fps = [int(x) for x in rng.integers(0, 2**63, 60)]
-    fps += [f ^ (1 << int(b)) ^ (1 << int(c)) for f in fps[:20] for b, c in rng.integers(0, 63, (4, 2))]
-    fps = sorted(set(fps))
-    roots = list(range(len(fps)))
+    planes, taken = sh.bit_planes(fps, np.arange(130), 3)
+    pairs = np.arange(130 * 3)
+    q, w, near = sh.near_words(planes, taken, fps, pairs // 3, pairs % 3, radius)
+    got = np.zeros((130, 3), np.uint64)
+    got[q, w] = near
+    assert (np.unpackbits(got.view(np.uint8), axis=1, bitorder="little")[:, :130].astype(bool) == want).all()
+    # buckets of several sizes, one of them across: links only inside a bucket, and a forest of all
+    starts, side = np.array([0, 2, 70, 71, 130]), np.zeros(130, np.int64)
+    side[100:] = 1
+    links = sh.bucket_links(fps, starts, side, radius)
+    bucket = np.searchsorted(starts, np.arange(130), "right")
+    assert len(links) < 130 and all(want[i, j] and bucket[i] == bucket[j] for i, j in links)
+    for a, b in zip(starts[:3], starts[1:4]):
+        own = [(i - a, j - a) for i, j in links if a <= i < b]
+        assert joined(b - a, own) == joined(b - a, [(i, j) for i in range(b - a) for j in range(i) if want[a + i, a + j]])
+    across = [(i, j) for i in range(71, 100) for j in range(100, 130) if want[i, j]]
+    assert joined(130, [x for x in links if x[0] >= 71]) == joined(130, across)
+
+
+def joined(n, links):
+    root = list(range(n))
 
     def find(x):
-        while roots[x] != x:
-            x = roots[x]
+        while root[x] != x:
+            x = root[x]
         return x
 
-    for a, b in linked(spark, np.array(fps, np.uint64), chunk, monkeypatch):
+    for a, b in links:
         x, y = sorted((find(a), find(b)))
-        roots[y] = x
-    assert [find(i) for i in range(len(fps))] == brute_groups(fps)
+        root[y] = x
+    return [find(i) for i in range(n)]
+
+
+@pytest.mark.parametrize("chunk,per_bucket,k", [(2048, 64, 1), (16, 64, 1), (8, 1e-3, 2), (2048, 1e-6, 3), (16, 1e-8, 4)])
+def test_links_span_what_the_radius_connects(spark, monkeypatch, chunk, per_bucket, k):
+    """Crowded buckets, cut into chunks, and keys of several blocks lose no link."""
+    rng = np.random.default_rng(3)
+    fps = [int(x) for x in rng.integers(0, 2**63, 60)] + [(1 << 63) + 5]
+    near = [f ^ (1 << int(b)) ^ (1 << int(c)) ^ (1 << int(d)) for f in [*fps[:20], fps[-1]] for b, c, d in rng.integers(0, 64, (4, 3))]
+    fps = sorted({*fps, *near})
+    assert sh.blocks_to_agree(len(fps), 3, per_bucket) == k
+    monkeypatch.setattr(sh, "CHUNK", chunk)
+    signed = {int(np.uint64(f).astype(np.int64)): i for i, f in enumerate(fps)}
+    rows = spark.createDataFrame([(x,) for x in signed], "fp long")
+    links = [(signed[a], signed[b]) for a, b in sh.fingerprint_links(rows, per_bucket=per_bucket).collect()]
+    assert all((fps[a] ^ fps[b]).bit_count() <= 3 for a, b in links)
+    assert joined(len(fps), links) == brute_groups(fps)
 
 
 def test_groups_match_brute_force(spark):
@@ -94,15 +112,43 @@ def test_groups_match_brute_force(spark):
     assert got == {i: least[g] for i, g in zip(ids, groups)}
 
 
+def test_query_on_the_whole_table(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    fps = [brute_fingerprint(r["text"]) for r in docs]
+    groups, least = brute_groups(fps), {}
+    for r, g in zip(docs, groups):
+        least[g] = min(r["doc_id"], least.get(g, r["doc_id"]))
+    got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in queries.op2_simhash(spark, SF).collect()}
+    assert got == {r["doc_id"]: (f"{f:016x}", least[g]) for r, f, g in zip(docs, fps, groups)}
+
+
 def test_dedup_and_edges(spark):
     assert sh.simhash_groups(spark.createDataFrame([], DOCS)).count() == 0
     assert sh.simhash_dedup(spark.createDataFrame([], DOCS)).count() == 0
-    rows = [(5, "a b c d", 1), (3, "a b c d", 2), (3, "a b c d", 2), (9, "quite another text here", 3), (None, "a b c d", 4)]
-    docs = spark.createDataFrame(rows, DOCS + ", fp int")
-    kept = sh.simhash_dedup(docs)
-    assert kept.columns == docs.columns
-    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect()) == [(False, 3), (False, 9), (True, 0)]
-    assert sorted(r["component_id"] for r in sh.simhash_groups(docs).collect()) == [3, 3, 3, 3, 9]
+    rows = [(5, "a b c d", 1), (3, "a b c d", 2), (3, "a b c d", 2), (9, "quite another text here", 3), (None, "a b c d", 4), (None, "a text of its own", 4)]
+    docs = spark.createDataFrame(rows, DOCS + ", _row int")
+    kept = sh.simhash_dedup(docs.withColumnRenamed("_row", "fp"))
+    assert kept.columns == ["doc_id", "text", "fp"]
+    assert sorted(map(str, kept.collect())) == sorted(map(str, [r for r in spark.createDataFrame([rows[1], rows[3], rows[5]], DOCS + ", fp int").collect()]))
+    assert sorted(r["component_id"] or 0 for r in sh.simhash_groups(docs).collect()) == [0, 3, 3, 3, 3, 9]
+
+
+@pytest.mark.parametrize("order", [1, -1])
+def test_dedup_loses_no_text(spark, order):
+    """Ids that several texts share: a group keeps a row whatever the ids of its rows are."""
+    a, b = "one text of a few words", "quite another text with other words"
+    rows = [(3, b), (5, a), (5, b), (9, a)][::order]
+    kept = sh.simhash_dedup(spark.createDataFrame(rows, DOCS))
+    assert sorted(map(tuple, kept.collect())) == [(3, b), (5, a)]
+    kept = sh.simhash_dedup(spark.createDataFrame([(1, a), (1, b)], DOCS))
+    assert sorted(map(tuple, kept.collect())) == [(1, a), (1, b)]
+
+
+def test_components_of_a_large_star(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 20)
+    edges = [(900, i) for i in range(100)] + [(900, 901), (901, 902), (2000, 2001), (903, 902)]
+    got = dict(comp.components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect())
+    assert got == {i: 0 for i in [*range(100), 900, 901, 902, 903]} | {2000: 2000, 2001: 2000}
 
 
 def test_components_of_a_long_chain(spark):
