@@ -58,11 +58,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recordings that play the embeddings, fingerprinted; those with an id divisible by 20 are
-    searched in all of them. One row for each query and link."""
-    from .chroma import all_links, recordings
+    """Recordings that play the embeddings, fingerprinted, and the groups of those that align: a row for each."""
+    from .chroma import group_recordings, recordings
 
-    return all_links(recordings(table(spark, sf_dir, "embeddings")), "vec_id").withColumnRenamed("query_id", "vec_id")
+    return group_recordings(recordings(table(spark, sf_dir, "embeddings")), "vec_id").withColumnRenamed("id", "vec_id")
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,9 +3,10 @@
 import base64
 import hashlib
 import math
+import io
 import struct
+import wave
 import zipfile
-import io
 import zlib
 
 import numpy as np
@@ -262,47 +263,135 @@ def test_wav_and_fingerprint():
             assert int(fp[t]) >> 2 * k & 3 == (0, 1, 3, 2)[level]
 
 
-def test_alignment_finds_the_offset():
-    whole = chroma.read_wav(tune(1))[0]
-    rng = np.random.default_rng(2)
-    part = whole[chroma.HOP * 17 :] + 0.005 * rng.normal(size=len(whole) - chroma.HOP * 17)
-    a, b = chroma.fingerprint_audio(chroma.write_wav(whole, 2000)), chroma.fingerprint_audio(chroma.write_wav(part, 2000))
-    r, q, offset, error = chroma.QueryIndex([chroma.fingerprint_audio(tune(9)), a]).align([b, chroma.fingerprint_audio(tune(5))])
-    assert list(r) == [0] and list(q) == [1] and list(offset) == [17] and error[0] < 0.1
-    assert chroma.bit_error(a, b, 17)[0] == pytest.approx(error[0])
-
-
-def test_search(spark):
-    rows = [(i, tune(i % 7)) for i in range(45)] + [(60, None), (None, tune(0)), (20, tune(6)), (80, b"no audio")]
-    media = spark.createDataFrame(rows, "id long, audio binary").withColumn("fp", F.lit(0))
-    got = {r["query_id"]: r for r in chroma.align_recordings(media, "id").collect()}
-    fps = [(i, chroma.fingerprint_audio(a)) for i, a in rows]
-    assert set(got) == {0, 20, 40, 60, 80}
-    assert got[60]["n_links"] == 0 and got[80]["links"] == []
-    for q in (0, 40):
-        own = dict(fps)[q]
-        want = [i for i, f in fps if i != q and i is not None and len(f) and (f == own).all()]
-        assert {x["id"] for x in got[q]["links"]} <= set(want) and got[q]["n_links"] >= len(want)
-        assert all(x["offset"] == 0 and x["bit_error"] == 0 for x in got[q]["links"])
-    assert chroma.align_recordings(media.limit(0), "id").count() == 0
-
-
-def test_every_link_is_returned(spark):
-    rows = [(i, tune(i % 2)) for i in range(60)] + [(None, tune(0)), (80, b"no audio")]
-    media = spark.createDataFrame(rows, "id long, audio binary")
-    found = chroma.all_links(media, "id").collect()
-    for q in (0, 20, 40):
-        mine = [r for r in found if r["query_id"] == q]
-        ids = [r["link_id"] for r in mine if r["link_id"] is not None]
-        assert len(ids) == len(set(ids)) and set(ids) >= set(range(0, 60, 2)) - {q} and len(mine) == len(ids) + 1
-        assert all((r["offset"], r["bit_error"]) == (0, 0) for r in mine if r["link_id"] is None or r["link_id"] % 2 == 0)
-    assert [tuple(r) for r in found if r["query_id"] == 80] == [(80, None, None, None)]
-    assert chroma.all_links(media.limit(0), "id").count() == 0
-
-
-def test_chroma_query_has_a_row_for_each_link(spark, tmp_path):
-    rows = [(i, [float(x) for x in np.random.default_rng(i % 2).normal(size=64)]) for i in range(42)]
+def wav24(samples, rate):
+    out = io.BytesIO()
+    with wave.open(out, "wb") as w:
+        w.setnchannels(2)
+        w.setsampwidth(3)
+        w.setframerate(rate)
+        v = (np.clip(samples, -1, 1) * 8388607).astype("<i4").repeat(2)
+        w.writeframes(v.view(np.uint8).reshape(-1, 4)[:, :3].tobytes())
+    return out.getvalue()
+
+
+def test_wav_of_three_bytes():
+    x = np.sin(np.arange(500) / 9)
+    got, rate = chroma.read_wav(wav24(x, 8000))
+    assert rate == 8000 and got == pytest.approx(x, abs=1e-6)
+
+
+@pytest.mark.parametrize("rate", [1500, 8000, 11025, 44100])
+def test_resampling(rate):
+    t = np.arange(rate * 2) / rate
+    got = chroma.resample(np.sin(2 * np.pi * 220 * t), rate)
+    want = np.sin(2 * np.pi * 220 * np.arange(len(got)) / chroma.RATE)
+    assert abs(len(got) - 2 * chroma.RATE) <= 1 and got[200:-200] == pytest.approx(want[200:-200], abs=0.01)
+    if rate > 2000:  # what lies above half of the rate is gone
+        assert np.abs(chroma.resample(np.sin(2 * np.pi * 1400 * t[: rate // 2]), rate)[100:-100]).max() < 0.02
+
+
+def at_rate(samples, rate):
+    """Samples of 2000 a second at another rate, by the spectrum."""
+    n = int(len(samples) * rate / 2000)
+    spectrum = np.zeros(n // 2 + 1, complex)
+    own = np.fft.rfft(samples)
+    k = min(len(own), len(spectrum))
+    spectrum[:k] = own[:k]
+    return np.fft.irfft(spectrum, n) * (n / len(samples))
+
+
+COPIES = {
+    "noise": lambda x, rng: (x + 0.01 * rng.normal(size=len(x)), 2000),
+    "later": lambda x, rng: (x[chroma.HOP * 13 + 40 :], 2000),
+    "half": lambda x, rng: (x[: len(x) // 2 + 2000], 2000),
+    "quieter": lambda x, rng: (0.3 * x, 2000),
+    "telephone": lambda x, rng: (at_rate(x, 8000), 8000),
+    "disc": lambda x, rng: (at_rate(x, 44100), 44100),
+}
+
+
+def brute_components(fps):
+    """Fingerprints linked as the operator says it, by all pairs, all shared integers and plain sums."""
+    looked = [chroma.key_frames(f) for f in fps]
+
+    def aligned(a, b, i, j):
+        lo = min(i, j, chroma.AROUND)
+        x, y = a[i - lo : i + chroma.AROUND + 1], b[j - lo : j + chroma.AROUND + 1]
+        n = min(len(x), len(y))
+        heard = [k for k in range(n) if int(x[k]) != chroma.SILENT or int(y[k]) != chroma.SILENT]
+        bits = sum((int(x[k]) ^ int(y[k])).bit_count() for k in heard)
+        return len(heard) >= chroma.MIN_SHARED and bits <= chroma.MAX_BIT_ERROR * 32 * len(heard)
+
+    root = list(range(len(fps)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for p in range(len(fps)):
+        for q in range(p):
+            same = len(fps[p]) and len(fps[p]) == len(fps[q]) and (fps[p] == fps[q]).all()
+            if same or any(aligned(fps[p], fps[q], i, j) for i in looked[p] for j in looked[q] if fps[p][i] == fps[q][j]):
+                x, y = sorted((find(p), find(q)))
+                root[y] = x
+    return [find(i) for i in range(len(fps))]
+
+
+@pytest.mark.parametrize("chunk,small", [(1024, 32), (6, 4)])
+def test_groups_match_brute_force(spark, monkeypatch, chunk, small):
+    monkeypatch.setattr(chroma, "CHUNK", chunk)
+    monkeypatch.setattr(chroma, "SMALL", small)
+    rng, audio = np.random.default_rng(4), []
+    for seed in range(9):
+        x = chroma.read_wav(tune(seed, 60))[0]
+        audio += [chroma.write_wav(x, 2000)] * (3 if seed % 2 else 1)
+        audio += [chroma.write_wav(*COPIES[c](x, rng)) for c in list(COPIES)[: seed % 5]]
+    x = chroma.read_wav(tune(0, 60))[0]
+    audio += [chroma.write_wav(x + 0.004 * k * rng.normal(size=len(x)), 2000) for k in range(14)]
+    audio += [chroma.write_wav(np.concatenate([np.zeros(20000), chroma.read_wav(tune(k, 40))[0]]), 2000) for k in (50, 51)] + [chroma.write_wav(np.zeros(30000), 2000)] * 2
+    ids = [(7 * i) % 89 for i in range(len(audio))]
+    media = spark.createDataFrame([*zip(ids, audio), (200, None), (201, b"no audio"), (None, audio[0])], "id long, audio binary").withColumn("fp", F.lit(0))
+    got = {r["id"]: r for r in chroma.group_recordings(media, "id").collect()}
+    fps = [chroma.fingerprint_audio(a) for a in audio]
+    least = {}
+    for i, g in zip(ids, groups := brute_components(fps)):
+        least[g] = min(i, least.get(g, i))
+    assert {i: got[i]["component_id"] for i in ids} == {i: least[g] for i, g in zip(ids, groups)}
+    for i, f in zip(ids, fps):
+        assert got[i]["class_id"] == min(j for j, g in zip(ids, fps) if len(g) == len(f) and (f == g).all())
+        if got[i]["link_id"] is not None:
+            other = fps[ids.index(got[i]["link_id"])]
+            assert got[i]["bit_error"] <= chroma.MAX_BIT_ERROR and chroma.bit_error(f, other, got[i]["offset"])[0] < 0.15
+    assert [tuple(got[i]) for i in (200, 201)] == [(i, 0, i, i, None, None, None) for i in (200, 201)]
+    assert got[None]["component_id"] == got[ids[0]]["component_id"] and len(got) == len(ids) + 3
+    assert chroma.group_recordings(media.limit(0), "id").count() == 0
+
+
+def test_copies_are_found(spark):
+    """Recall of altered copies, and offsets, against recordings that are not alike."""
+    rng, rows = np.random.default_rng(6), []
+    n = 40
+    for seed in range(n):
+        x = chroma.read_wav(tune(100 + seed))[0]
+        rows += [(10 * seed, chroma.write_wav(x, 2000))]
+        rows += [(10 * seed + 1 + k, wav24(*f(x, rng)) if c == "disc" else chroma.write_wav(*f(x, rng))) for k, (c, f) in enumerate(COPIES.items())]
+    got = {r["id"]: r for r in chroma.group_recordings(spark.createDataFrame(rows, "id long, audio binary"), "id").collect()}
+    assert all(r["component_id"] // 10 == r["id"] // 10 for r in got.values())  # none is linked that isn't a copy
+    for k, c in enumerate(COPIES):
+        assert np.mean([got[10 * s + 1 + k]["component_id"] == 10 * s for s in range(n)]) >= 0.9, c
+    later = [r["offset"] for r in got.values() if r["id"] % 10 == 2 and r["link_id"] is not None and r["link_id"] % 10 != 2]
+    assert later and np.mean([o in (-13, -14) for o in later]) > 0.9
+
+
+def test_chroma_query_has_a_row_for_each_recording(spark, tmp_path):
+    rows = [(i, [float(x) for x in np.random.default_rng(i % 2).normal(size=64)]) for i in range(42)] + [(50, None), (51, [])]
     spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = queries.QUERIES["op7_chroma"](spark, str(tmp_path))
-    assert got.columns == ["vec_id", "link_id", "offset", "bit_error"]
-    assert {(r["vec_id"], r["link_id"]) for r in got.collect()} >= {(q, i) for q in (0, 20, 40) for i in range(0, 42, 2) if i != q}
+    assert got.columns == ["vec_id", "n_frames", "class_id", "component_id", "link_id", "offset", "bit_error"]
+    assert {r["vec_id"]: r["component_id"] for r in got.collect()} == {i: i % 2 for i in range(42)} | {50: 50, 51: 51}
+    whole = queries.QUERIES["op7_chroma"](spark, SF).collect()
+    x = {r["vec_id"]: np.array(r["embedding"]) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()}
+    groups = brute_components([chroma.fingerprint_audio(chroma.render(x[r["vec_id"]])) for r in whole[:150]])
+    mine = [r["component_id"] for r in whole[:150]]
+    assert len(whole) == len(x) and all(mine[i] == mine[g] for i, g in enumerate(groups))
