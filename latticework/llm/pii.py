@@ -6,7 +6,7 @@ versions and keys. A span of these kinds holds a digit, an @, or a bracketed or
 (``TRIGGER``); texts are scored in overlapping windows around every such place. Scores of
 overlapping windows are averaged, nearer to a window's middle weighing more, and one Viterbi pass
 over each whole stretch reconciles them. Spans of the patterns always stay; the network's spans are
-added where they touch none of those.
+added where they touch none of those, or hold them whole and are of their kind.
 """
 
 from __future__ import annotations
@@ -27,9 +27,11 @@ KINDS = ("email", "ip", "card", "phone")
 WINDOW, STRIDE = 80, 40
 #: characters of context around a trigger
 MARGIN = 36
-#: what every form of the kinds holds, in any case and with any blanks in brackets; a spelled at counts where
-#: a long host and a spelled dot follow, as it lies too far from that dot
-TRIGGER = re.compile(r"[0-9@]|\sat\s\s*[\w-]{20,}+\s*(?:[\[({]\s*dot\s*[\])}]|(?<=\s)dot\s)|[\[({]\s*(?:at|dot)\s*[\])}]|\sdot\s", re.I)
+#: what every form of the kinds holds, in any case and with any blanks: a digit, an @, a bracketed or spelled sign, or
+#: groups of hexadecimal letters; a spelled at counts where a word and a dot of some form follow
+TRIGGER = re.compile(
+    r"[0-9@]|\sat\s\s*+[\w-]++\s*+(?:\.\s?\w|[\[({]\s*+dot\b|dot\b)|[\[({]\s*+(?:at|dot)\s*+[\])}]|\sdot\s|(?<![0-9a-f])[a-f]{1,4}:[a-f]{1,4}:", re.I
+)
 #: windows scored at once
 BATCH = 512
 
@@ -51,15 +53,12 @@ Span = tuple[str, int, int]
 def _emails(text: str) -> Iterator[Span]:
     done, at = 0, text.find("@")
     while at >= 0:
-        before = text[done:at]
-        start = done + len(before.rstrip(_LOCAL))
+        start = done + len(text[done:at].rstrip(_LOCAL))
         after = _DOMAIN.match(text, at + 1) if start < at else None
         if after:
             yield "email", start, after.end()
-            done = after.end()
-            at = text.find("@", done)
-        else:
-            at = text.find("@", at + 1)
+        done = after.end() if after else at + 1  # no name reaches back over an @
+        at = text.find("@", done)
 
 
 def luhn(digits: str) -> bool:
@@ -67,13 +66,19 @@ def luhn(digits: str) -> bool:
     return (total + sum(sum(divmod(2 * int(d), 10)) for d in digits[-2::-2])) % 10 == 0
 
 
+def _byte(digits: str) -> bool:
+    """Whether digits, of any number and with any leading zeros, are at most 255."""
+    digits = digits.lstrip("0")
+    return len(digits) <= 3 and int(digits or "0") <= 255
+
+
 def base_spans(text: str) -> list[Span]:
     """Spans of the patterns, by kind as listed and then by start."""
     found = list(_emails(text))
     if not _DIGIT.search(text):
         return found
     for m in _IP.finditer(text):
-        if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m.groups()):
+        if all(map(_byte, m.groups())):
             found.append(("ip", m.start(), m.end()))
     for m in _CARD.finditer(text):
         digits = _NOT_DIGITS.sub("", m.group())
@@ -156,11 +161,16 @@ class _Maker:
             return self.pick("[.]", "(.)", " . ", "[dot]", " dot ").join(part() for _ in range(4))
         return ":".join("".join(self.rng.choice(list("0123456789abcdef"), self.rng.integers(1, 5))) for _ in range(8))
 
+    def passing(self, n: int) -> str:
+        """n digits that pass Luhn."""
+        d = self.digits(n - 1)
+        return next(d + str(c) for c in range(10) if luhn(d + str(c)))
+
     def card(self) -> str:
-        d = self.digits(16)
+        d = self.passing(16)
         sep = self.pick("", "", " ", "-", ".", "/", "  ")
         if self.rng.random() < 0.2:
-            d = self.digits(15)
+            d = self.passing(15)
             return sep.join((d[:4], d[4:10], d[10:]))
         return sep.join(d[i : i + 4] for i in range(0, 16, 4))
 
@@ -342,7 +352,7 @@ class Tagger:
 
 
 @functools.lru_cache(maxsize=2)
-def trained(steps: int = 260, batch: int = 48, size: int = 64, seed: int = 7) -> Tagger:
+def trained(steps: int = 500, batch: int = 48, size: int = 64, seed: int = 7) -> Tagger:
     """Train with Adam on ``steps`` batches of generated texts; the same seed gives the same network."""
     maker = _Maker(seed)
     net = Tagger.fresh(np.random.default_rng(seed))
@@ -382,10 +392,9 @@ def stretches(text: str) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-_SAID = r"(?:[\[({]\s*%s\s*[\])}]|\s%s\s)"
-_EMAIL_FORM = re.compile(
-    rf"[\w.+-]+\s*(?:(?:@|{_SAID % ('at', 'at')})\s*[\w-]+(?:\s*{_SAID % ('dot', 'dot')}\s*[\w-]+)+|(?:\s?@\s?|[\[({{]\s*at\s*[\])}}])[\w-]+(?:\s?\.\s?[\w-]+)+)", re.I
-)
+#: what an address has in some form, between words: a sign for at, and later one for a dot
+_EMAIL_FORM = re.compile(r"[\w.%+-]*\w[^\w@]*(?:@|\bat\b)[^\w@]*\w[^@]*?(?:\.|\bdot\b)\W*\w[^@]*", re.I)
+_NAME_SIGNS = "._%+-"
 
 
 def _plausible(kind: str, text: str) -> bool:
@@ -399,29 +408,22 @@ def _plausible(kind: str, text: str) -> bool:
         if ":" in text:
             return len(re.findall(r"[0-9a-fA-F]+", text)) == 8
         parts = re.findall(r"[0-9]+", text)
-        return len(parts) == 4 and all(len(x) <= 3 and int(x) <= 255 for x in parts)
-    return bool(_EMAIL_FORM.fullmatch(text))
+        return len(parts) == 4 and all(map(_byte, parts))
+    return len(text) <= WINDOW and bool(_EMAIL_FORM.fullmatch(text))
 
 
 def _bounded(kind: str, text: str, a: int, b: int) -> Iterator[Span]:
-    """Where what the network proposes begins and ends: at whole words, and for an address at the form
-    of one that lies mostly in the proposal."""
-    while a > 0 and text[a].isalnum() and text[a - 1].isalnum():
+    """The network's tags bound a span; words that they cut are taken whole, and signs at the ends left out."""
+    least, most = max(0, a - WINDOW), min(len(text), b + WINDOW)
+    joins = _NAME_SIGNS if kind == "email" else ""
+    while a > least and (text[a - 1].isalnum() or text[a - 1] in joins) and (text[a].isalnum() or text[a] in joins):
         a -= 1
-    while b < len(text) and text[b - 1].isalnum() and text[b].isalnum():
+    while b < most and text[b].isalnum() and (text[b - 1].isalnum() or text[b - 1] in joins):
         b += 1
     part = text[a:b]
     start, end = a + len(part) - len(part.lstrip(" \t\n.,;:")), a + len(part.rstrip(" \t\n.,;:"))
-    if kind != "email":
-        if start < end and _plausible(kind, text[start:end]):
-            yield kind, start, end
-        return
-    lo, hi = max(0, a - MARGIN), min(len(text), b + MARGIN)
-    while lo > 0 and lo > a - 2 * MARGIN and not text[lo - 1].isspace():
-        lo -= 1
-    for m in _EMAIL_FORM.finditer(text, lo, hi):
-        if 2 * (min(m.end(), b) - max(m.start(), a)) >= m.end() - m.start():
-            yield kind, m.start(), m.end()
+    if start < end and _plausible(kind, text[start:end]):
+        yield kind, start, end
 
 
 def _tag_spans(tags: np.ndarray, text: str, at: int) -> Iterator[Span]:
@@ -471,6 +473,12 @@ def model_spans(net: Tagger, texts: list[str]) -> list[list[Span]]:
     return found
 
 
+def _beside(span: Span, base: list[Span]) -> bool:
+    """Whether a span touches no base span, or holds those it touches, all of its kind, and more."""
+    touched = [b for b in base if span[1] < b[2] and b[1] < span[2]]
+    return all(b[0] == span[0] and span[1] <= b[1] and b[2] <= span[2] and b != span for b in touched)
+
+
 def all_spans(net: Tagger, texts: list[str]) -> list[tuple[list[Span], list[Span]]]:
     """(base spans, all spans) of each text, both by kind as listed and then by start."""
     hit = [i for i, t in enumerate(texts) if TRIGGER.search(t)]
@@ -478,7 +486,7 @@ def all_spans(net: Tagger, texts: list[str]) -> list[tuple[list[Span], list[Span
     out = []
     for i, text in enumerate(texts):
         base = base_spans(text) if i in added else []
-        new = [s for s in added.get(i, []) if all(s[2] <= b[1] or b[2] <= s[1] for b in base)]
+        new = [s for s in added.get(i, []) if _beside(s, base)]
         out.append((base, sorted({*base, *new}, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))))
     return out
 

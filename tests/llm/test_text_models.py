@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -177,16 +178,51 @@ def test_network_gradients():
             assert (up - down) / 2e-3 == pytest.approx(grads[k][at], abs=2e-4)
 
 
-def test_network_finds_held_out_spans():
+def test_recall_and_false_spans_of_all_kinds():
+    """Of held-out made spans that the patterns miss, at least nine in ten of each kind are found (four fifths of a
+    span, by its kind), and under one added span in a hundred lies where nothing was made."""
     net, maker = pii.trained(), pii._Maker(123)
-    hit = made = 0
-    for _ in range(150):
-        text, tags = maker.example(64)
-        want = {i for i in range(64) if tags[i]}
-        got = {i for _, a, b in pii.model_spans(net, [text])[0] for i in range(a, b)}
-        got |= {i for i in range(64) if net.decode(net.forward(pii.char_classes(text)[None]))[0, i]}
-        hit, made = hit + len(want & got), made + len(want)
-    assert hit / made > 0.75
+    made = [maker.example(300) for _ in range(400)]
+    hit, wanted, added, false = Counter(), Counter(), 0, 0
+    for (text, tags), (base, spans) in zip(made, pii.all_spans(net, [t for t, _ in made])):
+        held = np.zeros(len(text), bool)
+        for a in [i for i in range(len(text)) if tags[i] % 2 == 1]:
+            kind, b = pii.KINDS[(tags[a] - 1) // 2], a + 1
+            while b < len(text) and tags[b] == tags[a] + 1:
+                b += 1
+            held[a:b] = True
+            share = lambda found, a=a, b=b, kind=kind: sum(max(0, min(y, b) - max(x, a)) for k, x, y in found if k == kind) >= 0.8 * (b - a)
+            if b < len(text) and not share(base):
+                wanted[kind] += 1
+                hit[kind] += share(spans)
+        new = [s for s in spans if s not in base and 0 < s[1] and s[2] < len(text) - 1]
+        added, false = added + len(new), false + sum(not held[a:b].any() for _, a, b in new)
+    assert min(wanted.values()) > 100 and len(wanted) == 4
+    assert all(hit[k] >= 0.9 * wanted[k] for k in pii.KINDS), (hit, wanted)
+    assert false <= 0.01 * added, (false, added)
+
+
+def test_every_made_span_is_scored():
+    """The windows are around a superset of what the maker can draw."""
+    maker = pii._Maker(11)
+    before, after = "word and some other words are here before it ", " is here and more words follow after"
+    for n in range(4000):
+        span = getattr(maker, pii.KINDS[n % 4])()
+        lo, hi = len(before), len(before) + len(span)
+        assert any(a <= lo and hi <= b for a, b in pii.stretches(before + span + after)), span
+    span = "abcd:ef:a:bc:def:fa:ce:bad"
+    assert any(a <= len(before) and len(before) + len(span) <= b for a, b in pii.stretches(before + span + after))
+
+
+def test_odd_and_long_texts():
+    assert pii.base_spans("0" * 5000 + ".1.1.1 and " + "9" * 5000 + ".1.1.1") == [("ip", 0, 5006)]
+    assert pii.base_spans("0" * 5000 + "255.0.0." + "0" * 5000) == [("ip", 0, 10_008)]
+    net = pii.trained()
+    for text in ("@" * 200_000, "a@" * 100_000, "a@b.c " * 20_000, "+" + "(" * 200_000, "1." * 50_000, "[" * 100_000 + " at ", " at " * 50_000):
+        began = time.perf_counter()
+        base, spans = pii.all_spans(net, [text])[0]
+        assert set(base) <= set(spans) and len(base) == (20_000 if "b.c " in text else 12_500 if text[0] == "1" else 0)
+        assert time.perf_counter() - began < 60
 
 
 SPELLED = ["john AT example DOT com", "john [AT] example [DOT] com", "john(At)example.com", "john{AT}example{DOT}org", "john At example Dot com", "john [  AT  ] example [  DOT  ] com", "john at example dot com"]
@@ -204,20 +240,6 @@ def test_spelled_addresses_are_scored_in_any_case():
     assert pii.stretches("the people AT home were looking at the (attic) and the DOTS") == []
 
 
-def test_recall_of_model_spans_alone():
-    net, maker = pii.trained(), pii._Maker(321)
-    hit = made = 0
-    for _ in range(200):
-        before = " ".join(maker.word() for _ in range(9)) + " "
-        span = getattr(maker, maker.pick("email", "ip", "phone"))()
-        text = before + span + " " + " ".join(maker.word() for _ in range(9))
-        assert any(a <= len(before) and b >= len(before) + len(span) for a, b in pii.stretches(text)) or len(span) > 36, span
-        got = {i for _, a, b in pii.model_spans(net, [text])[0] for i in range(a, b)}
-        want = set(range(len(before), len(before) + len(span)))
-        hit, made = hit + len(want & got), made + len(want)
-    assert hit / made > 0.8
-
-
 def test_added_spans_and_masking():
     net = pii.trained()
     text = "word and jane.roe [at] mail [dot] com is here, or +1 (826) 555-4081 190.137.2.9 later"
