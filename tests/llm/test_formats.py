@@ -4,7 +4,9 @@ import base64
 import hashlib
 import math
 import io
+import re
 import struct
+import time
 import wave
 import zipfile
 import zlib
@@ -75,6 +77,40 @@ def test_ratio_chooses_unmarked_blocks(body, want):
     assert main_text(page(body)) == want
 
 
+@pytest.mark.parametrize("open_tag", ["<button>Go", "<object data=x>", "<select><option>a", "<video src=x>", "<BUTTON class=b>Go <b>now"])
+def test_unclosed_controls_hold_nothing(open_tag):
+    assert main_text(page(f"<article><p>{LONG}</p>{open_tag}<p>{LONG}</p><h2>More</h2><p>{LONG}</p></article>")).count(LONG.strip()) == 3
+    name = open_tag[1:].split()[0].split(">")[0]
+    closed = f"<article><p>{LONG}</p><{name}><p>fallback of its own</p></{name}><p>{LONG}</p></article>"
+    assert main_text(page(closed)) == f"{LONG.strip()} {LONG.strip()}"
+
+
+def test_html_time_is_linear():
+    for body in ("<b><div>" + "<i>" * 20_000 + "</b>" * 20_000, "<p>x</i>" * 20_000, "</b>" * 20_000, "<div>" * 20_000 + "x" + "</div>" * 20_000, "<button>" * 20_000, "<p>" + LONG * 3000):
+        began = time.perf_counter()
+        main_text(page(body))
+        assert time.perf_counter() - began < 10
+
+
+def test_ratio_and_threshold_cut_out_menus_without_marks(monkeypatch):
+    """With all marks without weight, the ratio alone keeps menus out of every page; without its threshold they come in."""
+    import pyarrow.parquet as pq
+
+    from latticework.llm import html_extract
+
+    html = pq.read_table(f"{SF}/pages.parquet")["html"].to_pylist()
+    menus = [re.findall(r"<li><a href=[^>]*>([^<]*)</a></li>", x) for x in html]
+    full = [main_text(x) for x in html]
+    monkeypatch.setattr(html_extract, "BOILERPLATE_WEIGHTS", (0.0, 0.0, 0.0, -np.inf))
+    monkeypatch.setattr(html_extract, "ARTICLE_WEIGHT", 0.0)
+    times = lambda texts: np.array([t.count(" ".join(m)) for t, m in zip(texts, menus)])
+    bare = [main_text(x) for x in html]
+    assert min(map(len, menus)) > 2 and (times(bare) == times(full)).all()
+    assert all(set(f.split()) <= set(b.split()) for f, b in zip(full, bare))
+    monkeypatch.setattr(html_extract, "clusters", lambda v: (float(v.min()),) * 2)
+    assert (times([main_text(x) for x in html]) > times(full)).all()
+
+
 def test_html_query(spark):
     got = queries.QUERIES["op4_html"](spark, SF).collect()
     assert len(got) == 50 and all(r["n_chars"] == len(r["text"]) and r["text"] for r in got)
