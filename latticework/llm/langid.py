@@ -1,14 +1,13 @@
 """Language identification of mixed text: script ranges, word scores, Viterbi spans.
 
-A word's letters name its script; languages seen in that script stay candidates. Candidates are
-scored by a naive Bayes model over the word's character n-grams. A Viterbi pass over the words of a
+Words end at white space and where the script changes; a word's letters name its script, and languages
+seen in that script stay candidates. Candidates are scored by a naive Bayes model over the word's character n-grams. A Viterbi pass over the words of a
 text, in which a change of language costs ``SWITCH``, labels spans; the language that holds most
 letters is the text's. The model is fitted on a bounded sample of labelled rows (see ``fit``).
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,8 +19,6 @@ from pyspark.sql import functions as F
 
 #: rows of each language that the classifier is fitted on at most (the ones with the smallest hash)
 SAMPLE_PER_LANG = 2000
-#: languages the classifier knows at most (the most frequent labels)
-MAX_LANGS = 200
 #: cost of a change of language, in nats
 SWITCH = 8.0
 N_GRAMS = (1, 2, 3, 4)
@@ -57,14 +54,22 @@ _LOWS = np.array([s[0] for s in SCRIPTS])
 _HIGHS = np.array([s[1] for s in SCRIPTS])
 _SCRIPT_OF = np.array([SCRIPT_NAMES.index(s[2]) for s in SCRIPTS])
 _ORDER = np.argsort(_LOWS)
-#: what is not a letter; letters are Unicode's
-_NOT_LETTERS = r"[^\p{L}\p{M}]+"
-_LETTER = re.compile(r"[^\W\d_]")
+#: what is not a letter, and what is neither a letter nor a mark on one; letters are Unicode's
+_NOT_LETTERS, _NOT_TEXT = r"[^\p{L}]+", r"[^\p{L}\p{M}]+"
+#: what isn't ASCII or Latin
+_BEYOND_LATIN = r"[^\x00-\x{024F}]"
+#: runs of one script other than Latin, with the marks on them; kana are one script, as above
+_RUNS = "((?:(?:" + ")+|(?:".join(
+    [rf"\p{{{n.title()}}}\p{{M}}*" for n in SCRIPT_NAMES if n not in ("latin", "kana", "other")] + [r"[\p{Hiragana}\p{Katakana}\x{30FC}]\p{M}*"]
+) + ")+))"
 
 
-def letters_only(words: pa.Array) -> pa.Array:
-    """Words in lower case without what isn't a letter or mark."""
-    return pc.replace_substring_regex(pc.utf8_lower(words), _NOT_LETTERS, "")
+def letters_only(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words in lower case without what isn't a letter or a mark on one, and the number of letters of each.
+    What has no letter is empty."""
+    n = pc.utf8_length(pc.replace_substring_regex(words, _NOT_LETTERS, "")).to_numpy(zero_copy_only=False).astype(np.int64)
+    plain = pc.replace_substring_regex(pc.utf8_lower(words), _NOT_TEXT, "")
+    return pc.if_else(pa.array(n > 0), plain, ""), n
 
 
 def _code_points(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -173,8 +178,13 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float = SWITCH) ->
 
 
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """Letters-only words of all texts in a row and the number of words of each text."""
-    lists = pc.split_pattern_regex(pc.fill_null(texts, ""), r"[\s\x{3000}\x{00A0}]+")
+    """Words of all texts in a row and the number of words of each text. Runs of one script are words of
+    their own, so that text without blanks isn't one word."""
+    texts = pc.fill_null(texts, "")
+    other = pc.match_substring_regex(texts, _BEYOND_LATIN)
+    if pc.any(other).as_py():
+        texts = pc.if_else(other, pc.replace_substring_regex(pc.if_else(other, texts, ""), _RUNS, r" \1 "), texts)
+    lists = pc.split_pattern_regex(texts, r"[\s\x{3000}\x{00A0}]+")
     lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
     return pc.list_flatten(lists), lengths
 
@@ -208,11 +218,12 @@ class WordScores:
         scores, letters = self._scores[at], self._letters[at]
         new = np.flatnonzero(at < 0)
         if len(new):
-            plain = letters_only(words.take(pa.array(new))).to_pylist()
+            plain, counted = letters_only(words.take(pa.array(new)))
+            plain = plain.to_pylist()
             step = max(1, SCORE_BLOCK // max(1, len(self.model.langs)))
             for lo in range(0, len(new), step):
                 scores[new[lo : lo + step]] = self.model.word_scores(plain[lo : lo + step])
-            letters[new] = np.fromiter(map(len, plain), np.int64, len(plain))
+            letters[new] = counted
             kept = new[: self._room - len(self._at)]
             slots = np.arange(len(self._at), len(self._at) + len(kept))
             self._scores[slots], self._letters[slots] = scores[kept], letters[kept]
@@ -248,12 +259,13 @@ def label_block(found: WordScores, texts: pa.Array) -> tuple[list[str], np.ndarr
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key: Column | None = None, per_lang: int = SAMPLE_PER_LANG) -> LanguageModel:
     """Fit on at most ``per_lang`` rows of each language (whole texts), those whose hashed key is
-    smallest, and at most MAX_LANGS languages. Rows without text or language teach nothing; with no
+    smallest. Every language with a labelled row is known; the model grows with them, by a quarter of a
+    megabyte each. Rows without text or language teach nothing; with no
     row at all the model knows no language and labels everything ``und``."""
     from pyspark.sql import Window
 
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MAX_LANGS).collect()
+    counts = rows.groupBy(lang_col).count().collect()  # a row for each language
     if not counts:
         return LanguageModel([], np.zeros((BUCKETS, 0), np.float32), np.zeros((len(SCRIPT_NAMES), 0), bool))
     langs = sorted(r[0] for r in counts)
@@ -262,7 +274,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key
     share = F.create_map(*(F.lit(x) for pair in bound.items() for x in pair))[F.col(lang_col)]
     mixed = F.xxhash64(key if key is not None else F.col(text_col), F.lit(5))
     spread = F.pmod(mixed, F.lit(1 << 30)) / float(1 << 30)
-    few = rows.filter(F.col(lang_col).isin(langs)).withColumn("_h", mixed).filter(spread < share)
+    few = rows.withColumn("_h", mixed).filter(spread < share)
     rank = F.row_number().over(Window.partitionBy(lang_col).orderBy("_h"))
     sample = few.withColumn("_r", rank).filter(F.col("_r") <= per_lang).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
 
@@ -276,7 +288,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key
             of = np.array([at[x] for x in part.column(0).to_pylist()], np.int64)
             flat, lengths = split_words(part.column(1))
             coded = flat.dictionary_encode()
-            words = letters_only(coded.dictionary).to_pylist()
+            words = letters_only(coded.dictionary)[0].to_pylist()
             codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
             owner = np.repeat(of, lengths)
             row, gram = word_grams(words)
@@ -307,13 +319,13 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep
     """The columns ``keep`` of every row of ``docs``, then lang_pred, score (the share of letters in
     the language's spans) and spans as an array of (lang, words).
 
-    A text that is null, empty or without a letter is ``und`` with score 0 and no vote; ties go to
+    A text that is null, empty or without a letter (marks alone are none) is ``und`` with score 0; ties go to
     the language first in order. Repeated rows come out repeated, an empty table gives an empty one,
     and other columns take no part.
     """
     spark = docs.sparkSession
     keep = keep if keep is not None else [c for c in docs.columns if c != text_col]
-    shared = spark.sparkContext.broadcast(model)  # BUCKETS x MAX_LANGS numbers at most
+    shared = spark.sparkContext.broadcast(model)  # BUCKETS numbers for each language
     own = [f"_{i}" for i in range(len(keep))]
     columns = [F.col(c).alias(x) for c, x in zip(keep, own)]
     # a text that is kept goes to the workers once

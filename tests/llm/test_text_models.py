@@ -4,6 +4,7 @@ import hashlib
 import math
 import re
 import time
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -67,6 +68,61 @@ def test_viterbi_matches_brute_force():
         at += n
 
 
+def plain_label(model, text):
+    """Language and score of a text, word by word."""
+    words, best, back = re.split(r"[\s\u3000\u00a0]+", text or ""), None, []
+    letters = ["".join(c for c in w if unicodedata.category(c)[0] == "L") for w in words]
+    for w, own in zip(words, letters):
+        row = model.word_scores(["".join(c for c in w.lower() if unicodedata.category(c)[0] in "LM") if own else ""])[0].astype(float)
+        if best is None:
+            best = row
+        else:
+            top = int(best.argmax())
+            came = [k if best[k] >= best[top] - langid.SWITCH else top for k in range(len(row))]
+            best = np.array([max(best[k], best[top] - langid.SWITCH) for k in range(len(row))]) + row
+            back.append(came)
+    path = [int(best.argmax())]
+    for came in reversed(back):
+        path.append(came[path[-1]])
+    held = Counter()
+    for k, own in zip(reversed(path), letters):
+        held[k] += len(own)
+    total = sum(held.values())
+    k = min(held, key=lambda x: (-held[x], x))
+    return (model.langs[k], held[k] / total) if total else ("und", 0.0)
+
+
+def test_language_query_matches_plain_labels(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    model = langid.fit(docs.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0), key=F.col("doc_id"))
+    got = {r["doc_id"]: r for r in queries.QUERIES["op10_langid"](spark, SF).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        lang, score = plain_label(model, r["text"])
+        assert got[r["doc_id"]]["lang_pred"] == lang and got[r["doc_id"]]["score"] == pytest.approx(score, abs=1e-6), r["doc_id"]
+
+
+def test_marks_are_no_letters_and_words_end_where_the_script_changes(spark):
+    model = fitted(spark)
+    texts = [(1, "\u0301\u0300", None), (2, "\u0301 12 \u0300!", None), (3, "dogсобакуfox", None)]
+    got = {r["doc_id"]: r for r in langid.identify(spark.createDataFrame(texts, DOCS), model, keep=["doc_id"]).collect()}
+    assert [(got[i]["lang_pred"], got[i]["score"]) for i in (1, 2)] == [("und", 0.0)] * 2
+    assert sum(s["words"] for s in got[3]["spans"]) == 3
+    rows = [(1, "我们的世界很大我们都在这里", "zh"), (2, "わたしたちはここにいますそれはとてもいいことです", "ja"), (3, "เราอยู่ที่นี่และโลกนี้ใหญ่มาก", "th")]
+    model = langid.fit(spark.createDataFrame(rows, DOCS))
+    got = langid.identify(spark.createDataFrame([(1, "世界很大เราอยู่ที่นี่และโลกนี้ใหญ่มาก", None)], DOCS), model, keep=["doc_id"]).first()
+    assert got["lang_pred"] == "th" and [s["lang"] for s in got["spans"]] == ["zh", "th"]
+
+
+def test_all_languages_are_known(spark):
+    rows = [(i, f"{chr(97 + i % 26)}{chr(97 + i // 26)}x " * 30, f"l{i:03d}") for i in range(230)]
+    model = langid.fit(spark.createDataFrame(rows, DOCS))
+    assert len(model.langs) == 230
+    got = langid.identify(spark.createDataFrame(rows, DOCS), model, keep=["doc_id"]).collect()
+    assert np.mean([r["lang_pred"] == f"l{r['doc_id']:03d}" for r in got]) > 0.95
+
+
 def test_language_edges(spark):
     model = langid.fit(spark.createDataFrame([], DOCS))
     docs = spark.createDataFrame([(1, "some text", None), (1, "some text", None)], DOCS)
