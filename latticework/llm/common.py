@@ -66,6 +66,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or it with underscores behind it: no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def with_row_key(df: DataFrame, name: str = "_row") -> DataFrame:
     """A key for each row, so that repeated ids stay apart. A task that runs again reads the
     same split in the same order and gives the same keys."""

@@ -76,7 +76,7 @@ def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, epochs
     draws = F.greatest(F.ceil(F.col("_rate") / MAX_MEAN), F.lit(1)).cast("int")
     table = rates.select(F.col("source").alias("_source"), F.col("rate").alias("_rate"))
     table = table.withColumn("_draws", draws).withColumn("_cdf", _cumulative(F.col("_rate") / F.col("_draws")))
-    joined = join_small(docs.withColumn("_source", key), write_shared(table, "rates"), ["_source"])
+    joined = join_small(docs.withColumn("_source", key), write_shared(table, "rates"), ["_source"], by=id_col)
 
     def drawn(j: Column) -> Column:
         u = _hashed(str(seed), F.col(id_col), j) / F.lit(_UNIT)
@@ -94,7 +94,7 @@ def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, epochs
 
 
 ORACLE_SQL = f"""
-WITH d AS (SELECT doc_id, source, coalesce(source, '') AS s, text, coalesce(length(text), 0) AS n FROM documents),
+WITH d AS (SELECT row_number() OVER () AS row_no, doc_id, source, coalesce(source, '') AS s, text, coalesce(length(text), 0) AS n FROM documents),
 sizes AS (SELECT s, CAST(sum(n) AS DOUBLE) AS size FROM d GROUP BY s),
 weighed AS (SELECT s, size, CASE WHEN size > 0 THEN pow(size, {POWER}) ELSE 0 END AS w FROM sizes),
 rates AS (
@@ -106,12 +106,13 @@ cdf AS (
   FROM (SELECT s, rate, draws, k, exp(-rate / draws + k * ln(rate / draws) - lgamma(k + 1)) AS p FROM means, range(0, {TERMS + 1}) AS r(k) WHERE rate > 0)
 ),
 lists AS (SELECT s, rate, draws, list(c) AS cs FROM cdf GROUP BY s, rate, draws),
-u AS (
-  SELECT d.doc_id, d.source, d.text, l.rate, l.cs,
-    CAST('0x' || substr(md5('{SEED}|' || coalesce(CAST(d.doc_id AS VARCHAR), '') || '|' || j), 1, 13) AS BIGINT) / {_UNIT} AS u
-  FROM d JOIN lists l ON d.s = l.s, range(1, 1000) AS r(j) WHERE j <= l.draws
+drawn AS (SELECT d.row_no, d.doc_id, d.source, d.text, l.rate, l.cs, unnest(range(1, l.draws + 1)) AS j FROM d JOIN lists l ON d.s = l.s),
+u AS (SELECT *, CAST('0x' || substr(md5('{SEED}|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || j), 1, 13) AS BIGINT) / {_UNIT} AS u FROM drawn),
+counts AS (
+  SELECT row_no, any_value(doc_id) AS doc_id, any_value(source) AS source, any_value(text) AS text, any_value(rate) AS rate,
+    CAST(sum(len(list_filter(cs, lambda x: x <= u))) AS INTEGER) AS copies
+  FROM u GROUP BY row_no
 ),
-counts AS (SELECT doc_id, source, text, rate, CAST(sum(len(list_filter(cs, lambda x: x <= u))) AS INTEGER) AS copies FROM u GROUP BY doc_id, source, text, rate),
 copied AS (SELECT *, CAST(unnest(range(0, copies)) AS INTEGER) AS copy FROM counts WHERE copies > 0)
 SELECT doc_id, source, rate, copies, copy, md5(text) AS text_md5,
   CAST('0x' || substr(md5('{SEED}|order|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || copy), 1, 13) AS BIGINT) AS shuffle_key

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_small, write_shared
+from .common import free_name, join_small, with_row_key, write_shared
 
 WINDOW = 3
 SKETCH_K = 2048
@@ -139,9 +139,9 @@ def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = write_shared(text_counts(named).drop("text").withColumn("base_failed", failed), "counts")
     ratios = _ratios(rows)
     bounds = write_shared(adaptive_bounds(ratios), "bounds")
-    joined = join_small(ratios, bounds, ["lang", "source"])
+    joined = join_small(ratios, bounds, ["lang", "source"], by="doc_id")
     broken = F.lit(None).cast("string")
-    for m in METRICS:
+    for m in reversed(METRICS):  # the first broken bound is said
         out = F.col(m) > F.col(f"{m}_hi")
         if m in TWO_SIDED:
             out = out | (F.col(m) < F.col(f"{m}_lo"))
@@ -157,6 +157,63 @@ def quality_filter(docs: DataFrame, **cols: str) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with their columns as they were. Rows with a null id
     are judged by content too: the join is on a row key."""
     id_col = cols.pop("id_col", "doc_id")
-    keyed = docs.withColumn("_row", F.monotonically_increasing_id())
-    kept = quality_verdicts(keyed.drop(id_col), id_col="_row", **cols).filter("kept").select(F.col("doc_id").alias("_row"))
-    return keyed.join(kept, "_row", "left_semi").drop("_row")
+    own, key = docs.columns, free_name(docs, "_row")
+    keyed = write_shared(with_row_key(docs, key), "rows")
+    kept = quality_verdicts(keyed.drop(id_col), id_col=key, **cols).filter("kept").select(F.col("doc_id").alias(key))
+    return keyed.join(kept, key, "left_semi").select(*[F.col(f"`{c}`") for c in own])
+
+
+def _sql_bounds(level: str, keys: str) -> str:
+    parts = []
+    for m, least in METRICS.items():
+        at = lambda q, m=m: f"list_sort(list({m}))[CAST(greatest(1, ceil({q} * count(*))) AS BIGINT)]"
+        room = f"greatest({at(0.75)} - {at(0.25)}, {least}) * {WIDTH}"
+        parts += [f"{at(0.25)} - {room} AS {m}_lo", f"{at(0.75)} + {room} AS {m}_hi"]
+    group = f"GROUP BY {keys}" if keys else "HAVING count(*) > 0"
+    return f"{level} AS (SELECT {keys + ', ' if keys else ''}count(*) AS n, {', '.join(parts)} FROM r WHERE NOT base_failed {group})"
+
+
+def _sql_verdict() -> str:
+    cases = []
+    for m in METRICS:
+        pick = lambda e, m=m: f"CASE WHEN fine.n >= {LEAST_ROWS} THEN fine.{m}_{e} WHEN mid.n >= {LEAST_ROWS} THEN mid.{m}_{e} ELSE every.{m}_{e} END"
+        cases.append(f"WHEN {m} > {pick('hi')}" + (f" OR {m} < {pick('lo')}" if m in TWO_SIDED else "") + f" THEN '{m}'")
+    return "CASE WHEN base_failed THEN 'base' " + " ".join(cases) + " END"
+
+
+#: Exact quantiles, which the sketches are for up to SKETCH_K rows of a group; beyond that, within their error.
+ORACLE_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+w AS (
+  SELECT k, doc_id, lang, source, text, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM d
+),
+windows AS (
+  SELECT k, unnest(range(1, len(words) - 1)) AS i, unnest(list_transform(range(1, len(words) - 1), lambda j: words[j] || ' ' || words[j + 1] || ' ' || words[j + 2])) AS s
+  FROM w WHERE len(words) >= {WINDOW}
+),
+often AS (SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY k, s) AS c FROM windows) WHERE c >= 2),
+repeated AS (
+  SELECT k, CAST(sum(least({WINDOW}, coalesce(i - before, {WINDOW}))) AS BIGINT) AS n
+  FROM (SELECT k, i, lag(i) OVER (PARTITION BY k ORDER BY i) AS before FROM often) GROUP BY k
+),
+c AS (
+  SELECT k, doc_id, lang, source, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+    CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, len(lines) AS n_lines, coalesce(n, 0) AS n_repeat_words
+  FROM w LEFT JOIN repeated USING (k)
+),
+r AS (
+  SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed,
+    CAST(n_symbols AS DOUBLE) / greatest(n_words, 1) AS symbol_rate, CAST(word_chars AS DOUBLE) / greatest(n_words, 1) AS mean_word_len,
+    CAST(n_repeat_words AS DOUBLE) / greatest(n_words, 1) AS repeat_rate, CAST(n_dup_lines AS DOUBLE) / greatest(n_lines, 1) AS dup_line_rate
+  FROM c
+),
+{_sql_bounds("fine", "lang, source")}, {_sql_bounds("mid", "lang")}, {_sql_bounds("every", "")},
+v AS (
+  SELECT r.*, {_sql_verdict()} AS reason
+  FROM r LEFT JOIN fine ON fine.lang = r.lang AND fine.source = r.source LEFT JOIN mid ON mid.lang = r.lang LEFT JOIN every ON true
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, reason IS NULL AS kept, reason FROM v
+"""

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, warc_zip
+from . import mixing, quality, warc_zip
 from .common import table
 
 
@@ -96,4 +96,4 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_quality": op1_quality, "op2_simhash": op2_simhash, "op3_lm": op3_lm, "op4_html": op4_html, "op5_warc": op5_warc, "op6_packing": op6_packing, "op7_chroma": op7_chroma, "op8_pii": op8_pii, "op9_mixing": op9_mixing, "op10_langid": op10_langid}
 
-ORACLE_SQL: dict[str, str] = {"op5_warc": warc_zip.ORACLE_SQL, "op9_mixing": mixing.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_quality": quality.ORACLE_SQL, "op5_warc": warc_zip.ORACLE_SQL, "op9_mixing": mixing.ORACLE_SQL}

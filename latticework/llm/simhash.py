@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .buckets import bucket_starts, crowded_keys, deal, spanning, whole_buckets
-from .common import hot_split_join, with_row_key, write_shared
+from .common import free_name, hot_split_join, with_row_key, write_shared
 from .components import components, least_by
 
 RADIUS = 3
@@ -293,12 +293,11 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     or have none lose nothing but copies. The columns of ``docs`` come back as they were; an empty table
     gives an empty table.
     """
-    own = docs.columns
-    keyed = write_shared(with_row_key(docs, "_row"), "rows")
-    rows = fingerprint_table(keyed.select("_row", text_col), "_row", text_col).withColumnRenamed("id", "_row")
-    ids = keyed.select("_row", F.col(f"`{id_col}`").cast("long").alias("_id")) if id_col in own else keyed.select("_row", F.lit(None).cast("long").alias("_id"))
-    rows = write_shared(rows, "fingerprints").join(ids, "_row")
-    order = F.struct(F.col("_id").isNull().alias("without"), F.col("_id").alias("id"), F.col("_row").alias("row"))
-    firsts = group_firsts(rows.select("fp", order.alias("place")), "place", radius)
-    kept = firsts.select(F.col("first.row").alias("_row")).distinct()
-    return keyed.join(kept, "_row", "left_semi").select(*[F.col(f"`{c}`") for c in own])
+    own, key = docs.columns, free_name(docs, "_row")
+    keyed = write_shared(with_row_key(docs, key), "rows")
+    prints = write_shared(fingerprint_table(keyed, key, text_col).withColumnRenamed("id", "_key"), "fingerprints")
+    ids = keyed.select(F.col(key).alias("_key"), F.col(f"`{id_col}`").cast("long").alias("_id"))
+    order = F.struct(F.col("_id").isNull().alias("without"), F.col("_id").alias("id"), F.col("_key").alias("key"))
+    firsts = group_firsts(prints.join(ids, "_key").select("fp", order.alias("place")), "place", radius)
+    kept = firsts.select(F.col("first.key").alias(key)).distinct()
+    return keyed.join(kept, key, "left_semi").select(*[F.col(f"`{c}`") for c in own])

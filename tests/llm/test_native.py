@@ -69,7 +69,7 @@ def test_sketch_is_near_exact_quantiles(spark):
 def test_quality_edges(spark):
     empty = spark.createDataFrame([], DOCS)
     assert quality_verdicts(empty).count() == 0 and quality_filter(empty).count() == 0
-    clash = spark.createDataFrame([(1, "a b", "en", "s", 5, 6, True), (1, "a b", "en", "s", 5, 6, True), (None, "c", None, None, 1, 1, None)], DOCS + ", n_words int, n int, kept boolean")
+    clash = spark.createDataFrame([(1, "a b", "en", "s", 5, 6, True), (1, "a b", "en", "s", 5, 6, True), (None, "c", None, None, 1, 1, None)], DOCS + ", n_words int, _row int, kept boolean")
     got = quality_verdicts(clash).collect()
     assert len(got) == 3 and sorted(r["n_words"] for r in got) == [1, 2, 2]
     assert quality_filter(clash).columns == clash.columns
@@ -84,18 +84,33 @@ def test_native(spark):
     assert not has_python(_ratios(text_counts(docs))) and not has_python(quality_verdicts(docs)) and not has_python(poisson_mix(docs))
 
 
-def test_mixing_matches_sql(spark):
+@pytest.mark.parametrize("name", ["op1_quality", "op9_mixing"])
+@pytest.mark.parametrize("repeated", [False, True])
+def test_query_matches_sql(spark, tmp_path, name, repeated):
     import duckdb
 
+    folder = SF
+    if repeated:  # repeated rows, nulls and odd texts
+        folder = str(tmp_path)
+        docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source")
+        odd = spark.createDataFrame([(9000 + i, t, None, None) for i, t in enumerate(ODD)], DOCS)
+        docs.unionByName(docs.limit(30)).unionByName(odd).unionByName(odd).coalesce(1).write.parquet(f"{folder}/documents.parquet")
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
-    want = con.sql(queries.ORACLE_SQL["op9_mixing"])
-    got = queries.QUERIES["op9_mixing"](spark, SF)
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet{'/*.parquet' if repeated else ''}'")
+    want = con.sql(queries.ORACLE_SQL[name])
+    got = queries.QUERIES[name](spark, folder)
     cols = sorted(got.columns)
     rows = want.project(", ".join(f'"{c}"' for c in cols)).fetchall()
     assert sorted(map(repr, rows)) == sorted(repr(tuple(r)) for r in got.select(*cols).collect())
 
 
+def test_first_broken_bound_is_the_reason(spark):
+    plain = " ".join(f"w{i}" for i in range(80))
+    odd = " ".join(f"#########{i}" for i in range(80))
+    got = {r["doc_id"]: r["reason"] for r in quality_verdicts(spark.createDataFrame([(i, plain, "en", "s") for i in range(150)] + [(500, odd, "en", "s"), (501, plain.replace("w", "wwwwwwwwww"), "en", "s")], DOCS)).collect()}
+    assert got[500] == "symbol_rate" and got[501] == "mean_word_len" and got[0] is None
+
+
 def test_mixing_rates(spark):
     text = "word " * 20
     docs = spark.createDataFrame([(i, text, "en", "a" if i % 3 else "b") for i in range(6000)], DOCS)
