@@ -3,8 +3,8 @@
 A document's ids (and an end id) are one piece, or pieces of ``CAPACITY`` tokens of which the first
 may be shorter. Full pieces are sequences of their own. The others are dealt to shards of bounded
 size; for each shard several islands evolve packings whose genes are whole bins: crossover injects
-well-filled bins of one parent into the other, drops the bins that then hold an item twice, and
-best-fits the displaced items. Between epochs each island's elite migrates to the next island of its
+well-filled bins of one parent into the other, drops the bins that then hold an item twice, exchanges
+displaced items for smaller ones where that fills a bin to the brim, and best-fits the rest. Between epochs each island's elite migrates to the next island of its
 shard. Bins that stay poorly filled are packed once more together, across shards.
 """
 
@@ -13,6 +13,7 @@ from __future__ import annotations
 import functools
 import json
 import math
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -60,7 +61,8 @@ class PieceTokenizer:
     blank is encoded once, and a text's ids are its pieces' ids in a row. Texts in which other white
     space follows a blank are encoded whole. The file's merges have to be in the order of their ids,
     which is checked; then its vocabulary is a table of ranks, and ``tiktoken`` gives the same ids in
-    a fifth of the time. Names of special tokens in a text are ordinary text.
+    a fifth of the time. Where a text holds the name of an added token, it is that token, as the
+    tokenizer has it by default; what lies before and after is encoded apart.
     """
 
     def __init__(self, path: str):
@@ -69,7 +71,12 @@ class PieceTokenizer:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        vocab, special = spec["model"]["vocab"], {x["content"] for x in spec["added_tokens"]}
+        added = spec["added_tokens"]
+        if any(x[k] for x in added for k in ("single_word", "lstrip", "rstrip", "normalized")) or spec.get("normalizer"):
+            raise ValueError(f"{path} has added tokens that take what is around them, or a normalizer")
+        vocab, special = spec["model"]["vocab"], {x["content"] for x in added}
+        self._added = {x["content"]: struct.pack("<I", x["id"]) for x in added}
+        self._at_added = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         merged = [vocab["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in spec["model"]["merges"]]
         if spec["pre_tokenizer"] != {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True} or merged != sorted(merged):
             raise ValueError(f"{path} isn't a byte-level BPE whose merges are in the order of ids")
@@ -92,6 +99,12 @@ class PieceTokenizer:
 
     def encode(self, text: str) -> bytes:
         """Ids as unsigned little-endian 32-bit numbers."""
+        if any(name in text for name in self._added):
+            parts = self._at_added.split(text)
+            return b"".join(self._added[x] if i % 2 else self._plain(x) for i, x in enumerate(parts))
+        return self._plain(text)
+
+    def _plain(self, text: str) -> bytes:
         pieces = text.split(" ")
         rest = pieces[1:]
         if not all(rest) or any(x[0].isspace() for x in rest):
@@ -189,6 +202,63 @@ def _renumber(assign: np.ndarray) -> np.ndarray:
     return out
 
 
+def refill(assign: np.ndarray, lengths: np.ndarray, loose: np.ndarray, capacity: int) -> np.ndarray:
+    """Fill open bins to the brim from the loose items, one for nothing, one for one or two for one; returns the items
+    that are loose then, which are smaller: an exchange never leaves a bin emptier."""
+    pool: list[list[int]] = [[] for _ in range(capacity + 1)]
+    for i, n in zip(loose.tolist(), lengths[loose].tolist()):
+        pool[n].append(i)
+    there = np.array([len(x) for x in pool]) > 0
+    order = np.argsort(assign, kind="stable")[len(loose) :]
+    if not len(order):
+        return loose
+    starts = np.flatnonzero(np.append(True, assign[order][1:] != assign[order][:-1]))
+    ends = np.append(starts[1:], len(order))
+    free = capacity - np.add.reduceat(lengths[order], starts)
+
+    def take(n: int, bin_of: int) -> None:
+        assign[pool[n].pop()] = bin_of
+        there[n] = bool(pool[n])
+
+    def give(item: int) -> None:
+        assign[item] = -1
+        n = int(lengths[item])
+        pool[n].append(item)
+        there[n] = True
+
+    def two(total: int) -> int:
+        """A length of the pool that with another of it makes the total; 0 if there is none."""
+        both = np.flatnonzero(there[1:total] & there[total - 1 : 0 : -1]) + 1
+        for n in both[:2].tolist():
+            if 2 * n != total or len(pool[n]) > 1:
+                return n
+        return 0
+
+    for b in np.flatnonzero(free > 0).tolist():
+        room, items = int(free[b]), order[starts[b] : ends[b]].tolist()
+        if there[room]:
+            take(room, assign[items[0]])
+            continue
+        for item in items:
+            n = int(lengths[item]) + room
+            if there[n]:
+                own = assign[item]
+                take(n, own)
+                give(item)
+                break
+        else:
+            for item in items:
+                n = int(lengths[item]) + room
+                first = two(n)
+                if first:
+                    own = assign[item]
+                    take(first, own)
+                    take(n - first, own)
+                    give(item)
+                    break
+    return np.flatnonzero(assign < 0)
+
+
 def place(assign: np.ndarray, lengths: np.ndarray, order: np.ndarray, capacity: int) -> np.ndarray:
     """``assign`` with the items of ``order`` best-fitted, in that order, beside the placed ones."""
     assign = _renumber(assign)
@@ -218,7 +288,7 @@ def crossover(a: np.ndarray, b: np.ndarray, lengths: np.ndarray, capacity: int,
     child = a.copy()
     child[hit[a]] = -1
     child[inject] = b[inject] + len(hit)
-    loose = np.flatnonzero(child < 0)
+    loose = refill(child, lengths, np.flatnonzero(child < 0), capacity)
     return place(child, lengths, loose[np.argsort(-lengths[loose], kind="stable")], capacity)
 
 
@@ -229,7 +299,7 @@ def mutate(a: np.ndarray, lengths: np.ndarray, capacity: int, rng: np.random.Gen
     gone[np.argsort(fill)[: max(1, len(fill) // 50)]] = True
     gone[rng.integers(0, len(fill), max(1, len(fill) // 50))] = True
     child = np.where(gone[a], -1, a)
-    loose = np.flatnonzero(child < 0)
+    loose = refill(child, lengths, np.flatnonzero(child < 0), capacity)
     return place(child, lengths, loose[np.argsort(-lengths[loose] * rng.uniform(0.9, 1.1, len(loose)))], capacity)
 
 

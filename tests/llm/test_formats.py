@@ -203,8 +203,7 @@ def test_piece_tokenizer():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.tokenizer_path())
-    t.encode_special_tokens = True
-    texts = ["", " ", "a", " a", "a ", "a  b", "a \n b", "a\n b\n", "It's the dog's, isn't it? 12 345é", "x y  z", "<|endoftext|> a", "ab " * 500, "a\tb \tc", "日本 語", "a\r\nb c"]
+    texts = ["", " ", "a", " a", "a ", "a  b", "a \n b", "a\n b\n", "It's the dog's, isn't it? 12 345é", "x y  z", "<|endoftext|> a", "a <|endoftext|> b", "x  <|endoftext|><|endoftext|>\n y <|endoftext|", "ab " * 500, "a\tb \tc", "日本 語", "a\r\nb c"]
     coder = packing.PieceTokenizer(packing.tokenizer_path())
     for _ in range(2):  # the second time from the cache
         for text in texts:
@@ -230,6 +229,32 @@ def test_genetic_packing():
     assert packing.evolve(np.zeros(0, np.int64)).size == 0
 
 
+def hard_lengths():
+    rng = np.random.default_rng(5)
+    a = rng.integers(380, 491, 400)
+    b = np.array([rng.integers(256, 1024 - x - 256 + 1) for x in a])
+    return {"thirds": np.concatenate([a, b, 1024 - a - b]), "wide": rng.integers(200, 601, 1500), "narrow": rng.integers(260, 421, 1500)}
+
+
+@pytest.mark.parametrize("name", ["thirds", "wide", "narrow"])
+def test_search_beats_best_fit_where_there_is_room(name):
+    lengths = hard_lengths()[name].astype(np.int64)
+    fitted = packing.place(np.full(len(lengths), -1), lengths, np.argsort(-lengths, kind="stable"), 1024)
+    plain, bound = packing.fitness(fitted, lengths)[0], math.ceil(lengths.sum() / 1024)
+    best = packing.evolve(lengths, seeds=[packing.evolve(lengths, seed=1), packing.evolve(lengths, seed=2)], seed=3)
+    fill = np.bincount(best, weights=lengths)
+    assert fill.max() <= 1024 and (best >= 0).all() and len(fill) - bound <= 0.5 * (plain - bound)
+
+
+def test_refill_exchanges_for_smaller_items():
+    lengths = np.array([600, 300, 500, 524, 424, 100, 324, 77])
+    assign = np.array([0, 0, 1, 2, -1, -1, -1, -1])
+    loose = packing.refill(assign, lengths, np.flatnonzero(assign < 0), 1024)
+    fill = np.bincount(assign[assign >= 0], weights=lengths[assign >= 0])
+    assert fill[0] == 1024 and fill.max() <= 1024 and set(loose) == set(np.flatnonzero(assign < 0))
+    assert lengths[loose].sum() + fill.sum() == lengths.sum()
+
+
 def check_layout(rows, capacity=1024):
     by = {}
     for r in rows:
@@ -247,7 +272,6 @@ def test_packing_query(spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.tokenizer_path())
-    t.encode_special_tokens = True
     want, total = [], 0
     for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect():
         ids = np.array(t.encode(r[1] or "", add_special_tokens=False).ids + [2], "<u4")
