@@ -6,12 +6,16 @@ so that several of them share one shuffle. Variances come in three definitions:
 - over all cells, sample (``variance``): implicit zeros count, divisor N - 1;
 - over stored entries, population (masked and chunked);
 - over stored entries, sample (by batch).
+
+None is a difference of large sums: a group's squared deviations from its own mean (``m2``) are summed,
+and parts with other means (chunks, implicit zeros) are added by the distance of the means.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,26 +24,42 @@ from latticework.matrix import SparseMatrix, axis_key, other_axis
 LARGEST = 1.7976931348623157e308
 
 
+def squared_deviations(value: Column | str = "value") -> Column:
+    """Sum of squared deviations from the mean, of a group."""
+    return F.var_pop(value) * F.count(value)
+
+
 def moments() -> list[Column]:
     v = F.col("value")
-    return [F.count("*").alias("k"), F.sum(v).alias("s"), F.sum(v * v).alias("q"), F.min(v).alias("mn"), F.max(v).alias("mx")]
+    return [F.count("*").alias("k"), F.sum(v).alias("s"), F.sum(v * v).alias("q"), squared_deviations().alias("m2"), F.min(v).alias("mn"), F.max(v).alias("mx")]
 
 
 def merged_moments() -> list[Column]:
-    """Moments of moments: what chunks have found, put together."""
-    return [F.sum("k").alias("k"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.min("mn").alias("mn"), F.max("mx").alias("mx")]
+    """Moments of moments: what chunks have found, put together. A key has one row for each chunk."""
+
+    def add(acc: Column, x: Column) -> Column:
+        k = acc["k"] + x["k"]
+        apart = x["s"] / x["k"] - acc["mean"]
+        return F.struct(k.alias("k"), (acc["mean"] + apart * x["k"] / k).alias("mean"), (acc["m2"] + x["m2"] + apart * apart * acc["k"] * x["k"] / k).alias("m2"))
+
+    start = F.struct(F.lit(0.0).alias("k"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+    m2 = F.aggregate(F.collect_list(F.struct(F.col("k").cast("double").alias("k"), "s", "m2")), start, add, lambda acc: acc["m2"])
+    return [F.sum("k").alias("k"), F.sum("s").alias("s"), F.sum("q").alias("q"), m2.alias("m2"), F.min("mn").alias("mn"), F.max("mx").alias("mx")]
 
 
 def as_mask(m: SparseMatrix, axis: str, mask: DataFrame | Sequence[bool]) -> DataFrame:
-    """(key) of the kept members of an axis. A mask is a DataFrame (axis_id, keep) or a sequence of
-    booleans by position; it has to cover the axis, and what goes beyond it is ignored."""
+    """(key) of the kept members of an axis. A mask is a DataFrame (axis_id, keep), or a sequence of
+    booleans by position in the order of the axis's ids, for axes that the driver can hold as well as the
+    sequence. It has to cover the axis, and what goes beyond it is ignored."""
     key = axis_key(axis)
     if not isinstance(mask, DataFrame):
         values = list(mask)
         if len(values) < m.size(axis):
             raise ValueError(f"the mask has {len(values)} entries; the {axis} axis has {m.size(axis)}")
-        mask = m.entries.sparkSession.createDataFrame([(i, bool(x)) for i, x in enumerate(values)], "axis_id long, keep boolean")
-    elif m.axis(axis).join(mask.select(F.col("axis_id").alias(key)), key, "left_anti").limit(1).count():
+        ids = m.axis(axis).orderBy(key).toArrow().column(0).to_pylist()  # no more than the mask has entries
+        kept = pa.table({key: pa.array([i for i, x in zip(ids, values) if x], pa.int64())})
+        return m.entries.sparkSession.createDataFrame(kept)
+    if m.axis(axis).join(mask.select(F.col("axis_id").alias(key)), key, "left_anti").limit(1).count():
         raise ValueError(f"the mask doesn't cover the {axis} axis")
     return mask.filter("keep").select(F.col("axis_id").cast("long").alias(key))
 
@@ -50,8 +70,8 @@ def masked_entries(m: SparseMatrix, axis: str, mask: DataFrame | Sequence[bool])
 
 
 def axis_stats(m: SparseMatrix, axis: str, mask: DataFrame | Sequence[bool] | None = None) -> DataFrame:
-    """(key, k, s, q, mn, mx) for each member of ``axis``: stored entries, sum, sum of squares, least
-    and largest. A mask is over the other axis. Members without entries have zeros and null
+    """(key, k, s, q, m2, mn, mx) for each member of ``axis``: stored entries, sum, sum of squares, squared
+    deviations, least and largest. A mask is over the other axis. Members without entries have zeros and null
     extremes."""
     key = axis_key(axis)
     entries = m.entries if mask is None else masked_entries(m, other_axis(axis), mask)
@@ -60,7 +80,7 @@ def axis_stats(m: SparseMatrix, axis: str, mask: DataFrame | Sequence[bool] | No
 
 def densify(m: SparseMatrix, axis: str, stats: DataFrame) -> DataFrame:
     zero = lambda c, z: F.coalesce(c, F.lit(z)).alias(c)
-    return m.axis(axis).join(stats, axis_key(axis), "left").select(axis_key(axis), zero("k", 0), zero("s", 0.0), zero("q", 0.0), "mn", "mx")
+    return m.axis(axis).join(stats, axis_key(axis), "left").select(axis_key(axis), zero("k", 0), zero("s", 0.0), zero("q", 0.0), zero("m2", 0.0), "mn", "mx")
 
 
 def nonzero(m: SparseMatrix, axis: str, mask=None) -> DataFrame:
@@ -76,17 +96,18 @@ def total_squared(m: SparseMatrix, axis: str) -> DataFrame:
 
 
 def all_variance(n: int) -> Column:
-    """Sample variance of n cells of which k are stored; 0 for n <= 1."""
+    """Sample variance of n cells of which k are stored; 0 for n <= 1. The others are zeros."""
     if n <= 1:
         return F.lit(0.0)
-    return F.greatest((F.col("q") - F.col("s") * F.col("s") / float(n)) / float(n - 1), F.lit(0.0))
+    k = F.col("k").cast("double")
+    mean = F.coalesce(F.try_divide(F.col("s"), k), F.lit(0.0))
+    return (F.col("m2") + mean * mean * k * ((float(n) - k) / float(n))) / float(n - 1)
 
 
 def stored_variance(ddof: int = 0) -> Column:
     """Variance of the stored entries with divisor k - ddof; 0 where that isn't positive."""
     k = F.col("k").cast("double")
-    spread = F.col("q") - F.try_divide(F.col("s") * F.col("s"), k)
-    return F.when(k > ddof, F.greatest(F.try_divide(spread, k - float(ddof)), F.lit(0.0))).otherwise(F.lit(0.0))
+    return F.when(k > ddof, F.try_divide(F.col("m2"), k - float(ddof))).otherwise(F.lit(0.0))
 
 
 def variance(m: SparseMatrix, axis: str) -> DataFrame:
@@ -128,14 +149,14 @@ def _labelled(m: SparseMatrix, label_axis: str, labels: DataFrame, check: bool)
 
 
 def _by_batch(m: SparseMatrix, label_axis: str, labels: DataFrame, dense: bool) -> DataFrame:
-    """(batch, key of the other axis, k, s, q)."""
+    """(batch, key of the other axis, k, s, m2)."""
     out = axis_key(other_axis(label_axis))
-    stats = m.entries.join(labels, axis_key(label_axis)).groupBy("batch", out).agg(F.count("*").alias("k"), F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q"))
+    stats = m.entries.join(labels, axis_key(label_axis)).groupBy("batch", out).agg(F.count("*").alias("k"), F.sum("value").alias("s"), squared_deviations().alias("m2"))
     if not dense:
         return stats.join(m.axis(other_axis(label_axis)), out, "left_semi")
     grid = labels.select("batch").distinct().crossJoin(m.axis(other_axis(label_axis)))  # the result's own rows
     zero = lambda c, z: F.coalesce(c, F.lit(z)).alias(c)
-    return grid.join(stats, ["batch", out], "left").select("batch", out, zero("k", 0), zero("s", 0.0), zero("q", 0.0))
+    return grid.join(stats, ["batch", out], "left").select("batch", out, zero("k", 0), zero("s", 0.0), zero("m2", 0.0))
 
 
 def batch_variance(m: SparseMatrix, label_axis: str, labels: DataFrame, dense: bool = True, check: bool = True) -> DataFrame:

@@ -1,6 +1,6 @@
 """Statistics of a matrix that arrives in chunks.
 
-A chunk's moments are merged with those of other chunks by sums and extremes, so any number of
+A chunk's moments are merged with those of other chunks by sums, distances of means and extremes, so any number of
 chunks gives what the whole would. Chunks are a list of DataFrames, or a stream: then the same
 aggregation runs in Structured Streaming, whose state is one row per member of the axis.
 """
@@ -18,7 +18,7 @@ from latticework.operators.stats import densify, extremes, merged_moments, momen
 
 
 def chunk_state(entries: DataFrame, axis: str) -> DataFrame:
-    """(key, k, s, q, mn, mx) of one chunk of entries."""
+    """(key, k, s, q, m2, mn, mx) of one chunk of entries."""
     return entries.groupBy(axis_key(axis)).agg(*moments())
 
 
@@ -52,6 +52,6 @@ class ChunkStats:
 
 
 def stream_stats(entries: DataFrame, axis: str) -> DataFrame:
-    """Running (key, k, s, q, mn, mx, variance) of a stream of entries; for ``outputMode`` complete or
+    """Running (key, k, s, q, m2, mn, mx, variance) of a stream of entries; for ``outputMode`` complete or
     update. The state is bounded by the axis, so no watermark is needed."""
     return chunk_state(entries, axis).withColumn("variance", stored_variance())

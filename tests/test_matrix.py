@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from latticework.matrix import SparseMatrix
 from latticework.operators import preprocess, stats
+from latticework.streaming.chunks import ChunkStats
 
 F1 = (4, 3, [(0, 0, 1.0), (2, 0, 3.0), (2, 1, 4.0), (3, 1, 5.0), (0, 2, 2.0), (3, 2, 6.0)])
 F2 = (3, 3, [(0, 0, 1.0), (2, 0, 4.0), (1, 1, 3.0), (0, 2, 2.0), (2, 2, 5.0)])
@@ -87,6 +88,33 @@ def test_masks(spark):
         stats.nonzero(m, "row", short)
 
 
+def test_list_masks_follow_the_ids(spark):
+    """By position in the order of ids, wherever these begin and whatever gaps they have."""
+    entries = spark.createDataFrame([(1, 10, 1.0), (2, 10, 10.0), (7, 10, 100.0), (2, -5, 3.0)], "row_id long, col_id long, value double")
+    m = SparseMatrix.ingest(entries, spark.createDataFrame([(7,), (1,), (2,)], "row_id long"), spark.createDataFrame([(10,), (-5,)], "col_id long"))
+    assert column(stats.total(m, "column", [True] * 3)) == [3, 111]
+    assert column(stats.total(m, "column", [False, True, True])) == [3, 110]
+    assert column(stats.nonzero(m, "row", [True, False])) == [0, 1, 0]
+    assert column(stats.total(m, "row", [False, True, True])) == [1, 10, 100]
+
+
+def test_variance_of_large_values(spark):
+    """Offsets much larger than the spread don't drown it."""
+    big = 1e9
+    m = make(spark, (3, 3, [(i, 0, big + i) for i in range(3)] + [(0, j, big + j) for j in (1, 2)]))
+    rows, cols = [True] * 3, [True] * 3
+    assert column(stats.variance(m, "column"))[0] == pytest.approx(1) and column(stats.variance(m, "row"))[0] == pytest.approx(1)
+    assert column(stats.variance_masked(m, "column", rows))[0] == pytest.approx(2 / 3) and column(stats.variance_masked(m, "row", cols))[0] == pytest.approx(2 / 3)
+    x = np.array([big + 1, 0, 0])
+    assert column(stats.variance(m, "column"))[1] == pytest.approx(x.var(ddof=1))
+    chunks = [m.entries.filter(F.col("row_id") == i) for i in range(3)]
+    assert column(ChunkStats(m, "column", chunks).variance())[0] == pytest.approx(2 / 3)
+    assert column(ChunkStats(m, "row", [m.entries.filter("col_id < 1"), m.entries.filter("col_id >= 1")]).variance())[0] == pytest.approx(2 / 3)
+    labels = frame(spark, "aaa")
+    assert stats.var_batch_row(m, labels).filter("col_id = 0").first()["variance"] == pytest.approx(1)
+    assert stats.var_batch_col(m, labels).filter("row_id = 0").first()["variance"] == pytest.approx(1)
+
+
 def test_batches(spark):
     m = make(spark, F1)
     rows, cols = frame(spark, "aabb"), frame(spark, "xxy")
