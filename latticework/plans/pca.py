@@ -4,10 +4,12 @@ Three ways to the same components, all of which centre implicitly:
 
 - ``gram``: X'X is summed from dense blocks of rows inside tasks (matrix products), corrected for
   the mean, and decomposed on the driver. For up to GRAM_COLUMNS columns.
-- ``lanczos``: Lanczos steps with full reorthogonalisation; each is one pass v -> X'(Xv).
+- ``lanczos``: Lanczos steps with full reorthogonalisation, each one pass v -> X'(Xv), until the
+  residuals of all components asked for are within the tolerance.
 - ``RandomSVD``: a seeded random sketch, improved by power iterations with QR, one pass each.
 
-Only things as large as the column axis come to the driver; rows never do.
+What tasks add up is merged as a tree of tasks, so that a handful of arrays as large as the column axis
+(its square for ``gram``) come to the driver however many tasks there are; rows never do.
 """
 
 from __future__ import annotations
@@ -22,7 +24,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from latticework.matrix import SparseMatrix
-from latticework.operators.stats import as_mask, axis_stats
+from latticework.operators.stats import all_variance, as_mask, axis_stats
+from latticework.session import write_shared
 
 log = logging.getLogger(__name__)
 
@@ -30,14 +33,26 @@ log = logging.getLogger(__name__)
 GRAM_COLUMNS = 4096
 #: rows of a dense block
 BLOCK_ROWS = 512
+#: arrays that one task merges at most, and bytes of them
+FAN_IN, FAN_IN_BYTES = 16, 1 << 28
+#: Lanczos steps between looks at the residuals
+LOOK_EVERY = 4
+NORMALIZERS = ("qr",)
 
 
 @dataclass(frozen=True)
 class RandomSVD:
     n_oversamples: int = 10
     n_power_iterations: int = 7
+    #: how the sketch is made orthonormal between power iterations
     normalizer: str = "qr"
 
+    def __post_init__(self):
+        if self.normalizer not in NORMALIZERS:
+            raise ValueError(f"normalizer must be one of {NORMALIZERS}")
+        if self.n_oversamples < 0 or self.n_power_iterations < 0:
+            raise ValueError("n_oversamples and n_power_iterations must not be negative")
+
 
 def _cells(m: SparseMatrix) -> DataFrame:
     """(cols, values) per row."""
@@ -59,11 +74,26 @@ def _blocks(batches: Iterator[pa.RecordBatch], place: np.ndarray) -> Iterator[tu
             yield rows[known], at[known], values[known], part.num_rows
 
 
-def _summed(rows: DataFrame, columns: np.ndarray, work, shape: tuple[int, int]) -> np.ndarray:
-    """Sum over all rows of what ``work`` adds to an array of ``shape`` for each block. Tasks add up
-    their own rows; about the square root of their number add those; the driver adds the rest."""
-    spark = rows.sparkSession
-    shared = spark.sparkContext.broadcast(columns)
+def _merged(parts: DataFrame, tasks: int, shape: tuple[int, ...], until: int) -> DataFrame:
+    """Sums of arrays (part binary) that ``tasks`` tasks made, at most ``until`` of them, by a tree of tasks."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(shape)
+        for batch in batches:
+            for x in batch.column(0):
+                total += np.frombuffer(x.as_buffer()).reshape(shape)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["part"])
+
+    fan = int(max(2, min(FAN_IN, FAN_IN_BYTES // (8 * max(1, np.prod(shape, dtype=np.int64))))))
+    while tasks > until:
+        tasks = -(-tasks // fan)
+        parts = parts.repartition(tasks).mapInArrow(merge, "part binary")
+    return parts
+
+
+def _partial_sums(rows: DataFrame, columns: np.ndarray, work, shape: tuple[int, ...]) -> tuple[DataFrame, int]:
+    """One array of ``shape`` for each task, to which ``work`` adds each of its blocks, and their number."""
+    shared = rows.sparkSession.sparkContext.broadcast(columns)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(shape)
@@ -71,52 +101,86 @@ def _summed(rows: DataFrame, columns: np.ndarray, work, shape: tuple[int, int])
             work(total, *block)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["part"])
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(shape)
-        for batch in batches:
-            for x in batch.column(0):
-                total += np.frombuffer(x.as_py()).reshape(shape)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["part"])
+    return rows.mapInArrow(add, "part binary"), rows.rdd.getNumPartitions()
 
-    parts = rows.mapInArrow(add, "part binary")
-    groups = max(1, int(parts.rdd.getNumPartitions() ** 0.5))
-    merged = parts.repartition(groups).mapInArrow(merge, "part binary")
+
+def _summed(rows: DataFrame, columns: np.ndarray, work, shape: tuple[int, ...]) -> np.ndarray:
+    """Sum over all rows of what ``work`` adds to an array of ``shape`` for each block."""
+    parts, tasks = _partial_sums(rows, columns, work, shape)
+    merged = _merged(parts, tasks, shape, FAN_IN)
     return sum((np.frombuffer(bytes(r[0])).reshape(shape) for r in merged.toLocalIterator()), np.zeros(shape))
 
 
-def gram_entries(m: SparseMatrix) -> DataFrame:
-    """(i, j, value) of X'X for i <= j, as one self-join: declarative, for narrow rows."""
-    a = m.entries.select("row_id", F.col("col_id").alias("i"), F.col("value").alias("x"))
-    b = m.entries.select("row_id", F.col("col_id").alias("j"), F.col("value").alias("y"))
-    pairs = a.join(b, "row_id").filter("i <= j")
-    return pairs.groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("value"))
+def _dense_block(r: np.ndarray, c: np.ndarray, v: np.ndarray | float, shape: tuple[int, int]) -> np.ndarray:
+    block = np.zeros(shape)
+    np.add.at(block, (r, c), v)
+    return block
 
 
 def gram_matrix(rows: DataFrame, columns: np.ndarray) -> np.ndarray:
     n = len(columns)
 
     def work(total, r, c, v, k):
-        block = np.zeros((k, n))
-        np.add.at(block, (r, c), v)
+        block = _dense_block(r, c, v, (k, n))
         total += block.T @ block
 
     return _summed(rows, columns, work, (n, n))
 
 
+def _pair_table(m: SparseMatrix, center: bool, divisor: float, everywhere: bool) -> DataFrame:
+    """(i, j, value) for i <= j, X'X over the divisor, less the means' part if centred; of all pairs, or of those with a
+    common row. Block products, merged by a tree down to one array, whose rows one task writes out."""
+    n = m.nrows
+    columns = m.axis("column").orderBy("col_id").toArrow().column(0).to_numpy().astype(np.int64)  # GRAM_COLUMNS at most
+    width = len(columns)
+    shape = (2 * width + 1, width)  # X'X, common rows, sums
+
+    def work(total, r, c, v, k):
+        x = _dense_block(r, c, v, (k, width))
+        total[:width] += x.T @ x
+        total[-1] += x.sum(axis=0)
+        if not everywhere:
+            stored = (_dense_block(r, c, 1.0, (k, width)) > 0).astype(float)
+            total[width:-1] += stored.T @ stored
+
+    parts, tasks = _partial_sums(write_shared(_cells(m), "cells"), columns, work, shape)
+
+    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.column(0):
+                total = np.frombuffer(x.as_buffer()).reshape(shape)
+                sums = total[-1]
+                for i in range(width):
+                    j = np.arange(i, width) if everywhere else i + np.flatnonzero(total[width + i, i:])
+                    value = total[i, j] - (sums[i] * sums[j] / n if center else 0.0)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(j), columns[i])), pa.array(columns[j]), pa.array(value / divisor)], names=["i", "j", "value"])
+
+    return _merged(parts, max(2, tasks), shape, 1).mapInArrow(out, "i long, j long, value double")
+
+
+def gram_entries(m: SparseMatrix) -> DataFrame:
+    """(i, j, value) of X'X for i <= j, of the pairs that have a common row: block products up to GRAM_COLUMNS
+    columns, beyond that one self-join, for wide matrices with narrow rows."""
+    if m.ncols <= GRAM_COLUMNS:
+        return _pair_table(m, False, 1.0, False)
+    a = m.entries.select("row_id", F.col("col_id").alias("i"), F.col("value").alias("x"))
+    b = m.entries.select("row_id", F.col("col_id").alias("j"), F.col("value").alias("y"))
+    pairs = a.join(b, "row_id").filter("i <= j")
+    return pairs.groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("value"))
+
+
 def covariance(m: SparseMatrix, center: bool = True) -> DataFrame:
     """(i, j, value) for i <= j: covariance of columns with divisor N - 1, pairs without common rows
-    included; not centred, X'X / (N - 1) of the pairs that have one."""
+    included; not centred, X'X / (N - 1) of the pairs that have one. Centred ones are for up to
+    GRAM_COLUMNS columns, as the result is their square."""
     n = m.nrows
     if n < 2:
         raise ValueError("a covariance needs two rows")
-    gram = gram_entries(m)
     if not center:
-        return gram.select("i", "j", (F.col("value") / float(n - 1)).alias("value"))
-    sums = axis_stats(m, "column").select("col_id", "s")
-    left, right = sums.select(F.col("col_id").alias("i"), F.col("s").alias("si")), sums.select(F.col("col_id").alias("j"), F.col("s").alias("sj"))
-    grid = left.join(right, F.col("i") <= F.col("j"))  # the result's own rows
-    value = (F.coalesce("value", F.lit(0.0)) - F.col("si") * F.col("sj") / float(n)) / float(n - 1)
-    return grid.join(gram, ["i", "j"], "left").select("i", "j", value.alias("value"))
+        return gram_entries(m).select("i", "j", (F.col("value") / float(n - 1)).alias("value"))
+    if m.ncols > GRAM_COLUMNS:
+        raise ValueError(f"a centred covariance is for up to {GRAM_COLUMNS} columns")
+    return _pair_table(m, True, float(n - 1), True)
 
 
 def project(m: SparseMatrix, components: DataFrame, offsets: DataFrame | None = None) -> DataFrame:
@@ -134,18 +198,21 @@ def project(m: SparseMatrix, components: DataFrame, offsets: DataFrame | None =
 class SparsePCA:
     """Configuration; ``fit`` gives a ``PCAModel``.
 
-    ``alpha`` and ``tolerance`` are kept for callers that set them and change nothing. With a
-    ``mask`` (DataFrame (axis_id, keep) or booleans, exactly as long as the column axis) only kept
-    columns take part.
+    ``tolerance`` is what Lanczos residuals may be of the largest eigenvalue; ``max_iter`` bounds its steps
+    (by default the number of columns does). With ``center_svd=False`` centring leaves the decomposition
+    alone and changes only mean, total variance and transform. ``alpha`` is kept for callers that set it and
+    changes nothing. With a ``mask`` (DataFrame (axis_id, keep) or booleans, exactly as long as the column
+    axis) only kept columns take part.
     """
 
-    def __init__(self, n_components: int = 50, alpha: float = 1.0, tolerance: float = 1e-6, random_seed: int = 42, center: bool = True, verbose: bool = False, svd_method: str | RandomSVD = "lanczos", mask: DataFrame | Sequence[bool] | None = None, max_iter: int | None = None):
+    def __init__(self, n_components: int = 50, alpha: float = 1.0, tolerance: float = 1e-6, random_seed: int = 42, center: bool = True, verbose: bool = False, svd_method: str | RandomSVD = "lanczos", mask: DataFrame | Sequence[bool] | None = None, max_iter: int | None = None, center_svd: bool = True):
         if n_components < 1:
             raise ValueError("n_components must be positive")
         if not (isinstance(svd_method, RandomSVD) or svd_method in ("lanczos", "gram")):
             raise ValueError("svd_method must be 'lanczos', 'gram' or a RandomSVD")
         self.n_components, self.alpha, self.tolerance, self.random_seed = n_components, alpha, tolerance, random_seed
         self.center, self.verbose, self.svd_method, self.mask, self.max_iter = center, verbose, svd_method, mask, max_iter
+        self.center_svd = center_svd
 
     def _kept(self, m: SparseMatrix) -> SparseMatrix:
         if self.mask is None:
@@ -161,20 +228,17 @@ class SparsePCA:
         n = m.nrows
         if n < 2:
             raise ValueError("fitting needs two rows")
-        stats = axis_stats(m, "column").select("col_id", "s", "q").orderBy("col_id").toPandas()
+        stats = axis_stats(m, "column").select("col_id", "s", all_variance(n).alias("variance")).orderBy("col_id").toPandas()
         columns = stats["col_id"].to_numpy(np.int64)
         mean = stats["s"].to_numpy(float) / n if self.center else np.zeros(len(columns))
-        total = float(((stats["q"].to_numpy(float) - n * mean**2) / (n - 1)).sum())
+        total = float(stats["variance"].sum())
         k = min(self.n_components, len(columns), n - 1 if self.center else n)
         if k < self.n_components:
             log.warning("n_components is cut from %d to the rank %d", self.n_components, k)
         if not k:
             raise ValueError("no column to decompose")
-        rows = _cells(m).persist()
-        try:
-            values, loadings = self._decompose(rows, columns, mean, n, k)
-        finally:
-            rows.unpersist()
+        # every pass reads the rows; a lost executor costs a pass no more than its own tasks
+        values, loadings = self._decompose(write_shared(_cells(m), "cells"), columns, mean if self.center_svd else 0 * mean, n, k)
         ok = values > max(values.max(), 0) * 1e-12
         values, loadings = np.maximum(values[ok], 0), loadings[ok]
         strongest = np.abs(loadings).argmax(axis=1)
@@ -212,23 +276,44 @@ class SparsePCA:
                 q = np.linalg.qr(times(q))[0]
             values, inner = np.linalg.eigh(q.T @ times(q))
             return values[::-1][:k], (q @ inner).T[::-1][:k]
-        steps = min(width, self.max_iter or max(2 * k + 20, 40))
-        basis, alphas, betas = np.zeros((steps + 1, width)), [], []
-        basis[0] = rng.standard_normal(width)
-        basis[0] /= np.linalg.norm(basis[0])
-        used = 0
-        for j in range(steps):
-            w = times(basis[j][:, None])[:, 0]
-            alphas.append(float(w @ basis[j]))
+        return self._lanczos(times, width, k, rng)
+
+    def _lanczos(self, times, width: int, k: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+        limit = min(width, self.max_iter or width)
+        basis, alphas, betas = np.zeros((min(limit, 64) + 1, width)), [], []
+
+        def orthogonal(w: np.ndarray, used: int) -> np.ndarray:
             for _ in range(2):
-                w -= basis[: j + 1].T @ (basis[: j + 1] @ w)
-            used, beta = j + 1, float(np.linalg.norm(w))
-            if beta < 1e-10 * max(map(abs, alphas)) or j == steps - 1:
+                w = w - basis[:used].T @ (basis[:used] @ w)
+            return w
+
+        start = rng.standard_normal(width)
+        basis[0] = start / np.linalg.norm(start)
+        for step in range(1, limit + 1):
+            w = times(basis[step - 1][:, None])[:, 0]
+            alphas.append(float(w @ basis[step - 1]))
+            w = orthogonal(w, step)
+            beta = float(np.linalg.norm(w))
+            closed = beta <= 1e-12 * max(max(map(abs, alphas)), 1e-300)  # what is spanned goes into itself
+            if step >= k and (step % LOOK_EVERY == 0 or step == limit or closed):
+                values, inner = np.linalg.eigh(np.diag(alphas) + np.diag(betas, 1) + np.diag(betas, -1))
+                residual = beta * np.abs(inner[-1, -k:]).max()
+                if residual <= self.tolerance * max(values[-1], 1e-300) and not (closed and step < limit and values[-k] <= 1e-12 * values[-1]):
+                    break
+            if step == limit:
+                log.warning("Lanczos stopped after %d steps with residual %g", step, residual) if step >= k else None
                 break
+            if closed:  # other directions may still hold variance
+                w, beta = orthogonal(rng.standard_normal(width), step), 0.0
+                w /= max(float(np.linalg.norm(w)), 1e-300)
+            else:
+                w = w / beta
             betas.append(beta)
-            basis[j + 1] = w / beta
-        t = np.diag(alphas) + np.diag(betas[: used - 1], 1) + np.diag(betas[: used - 1], -1)
-        values, inner = np.linalg.eigh(t)
+            if step == len(basis):
+                basis = np.concatenate([basis, np.zeros((min(len(basis), limit + 1 - len(basis)), width))])
+            basis[step] = w
+        used = len(alphas)
+        values, inner = np.linalg.eigh(np.diag(alphas) + np.diag(betas[: used - 1], 1) + np.diag(betas[: used - 1], -1))
         return values[::-1][:k], (basis[:used].T @ inner).T[::-1][:k]
 
     def fit_transform(self, m: SparseMatrix) -> DataFrame:

@@ -280,40 +280,70 @@ def pca_transform_fixed(spark, d):
     return rounded(pca.project(m, loadings, offsets), "score")
 
 
-@query("pca_lanczos_components")
+_WIDE = 16
+_REBUILT = f"""WITH {_CELLS} SELECT a.pos AS i, b.pos AS j, round(covar_samp(a.x, b.x), 6) + 0.0 AS value
+FROM v a JOIN v b ON a.id = b.id AND a.pos <= b.pos WHERE b.pos < {_WIDE} GROUP BY a.pos, b.pos"""
+
+
+def _first_columns(m: SparseMatrix, n: int) -> DataFrame:
+    return m.cols.select(F.col("col_id").alias("axis_id"), (F.col("col_id") < n).alias("keep"))
+
+
+def _rebuilt(spark: SparkSession, d: str, method) -> DataFrame:
+    """All components of the first columns put together again, each by its variance: the covariance, if every
+    loading and every variance is right."""
+    m = embedding_matrix(spark, d)
+    model = pca.MaskedSparsePCA(_first_columns(m, _WIDE), n_components=_WIDE, svd_method=method).fit(m)
+    loadings = model.components.join(model.explained_variance(), "component")
+    left = loadings.select("component", F.col("col_id").alias("i"), (F.col("loading") * F.col("explained_variance")).alias("x"))
+    right = loadings.select("component", F.col("col_id").alias("j"), F.col("loading").alias("y"))
+    pairs = left.join(right, "component").filter("i <= j").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("value"))
+    return pairs.select("i", "j", (F.round("value", 6) + 0.0).alias("value"))
+
+
+@query("pca_lanczos_components", _REBUILT)
 def pca_lanczos_components(spark, d):
-    return pca.SparsePCA(n_components=5, svd_method="lanczos").fit(embedding_matrix(spark, d)).components
+    return _rebuilt(spark, d, "lanczos")
 
 
-@query("pca_random_components")
+@query("pca_random_components", _REBUILT)
 def pca_random_components(spark, d):
-    return pca.SparsePCA(n_components=5, svd_method=pca.RandomSVD()).fit(embedding_matrix(spark, d)).components
+    return _rebuilt(spark, d, pca.RandomSVD())
+
 
+# two columns have a closed form, which SQL can state
+_PLANE = """WITH x AS (SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) AS x0, CAST(embedding[2] AS DOUBLE) AS x1 FROM embeddings),
+c AS (SELECT var_samp(x0) AS a, covar_samp(x0, x1) AS b, var_samp(x1) AS c, avg(x0) AS m0, avg(x1) AS m1 FROM x),
+e AS (SELECT CAST(component AS INTEGER) AS component, m0, m1, a, b, (a + c) / 2 + side * sqrt(((a - c) / 2) * ((a - c) / 2) + b * b) AS l FROM c, (VALUES (0, 1), (1, -1)) AS t(component, side)),
+u AS (SELECT component, m0, m1, l, b / sqrt(b * b + (l - a) * (l - a)) AS u0, (l - a) / sqrt(b * b + (l - a) * (l - a)) AS u1 FROM e),
+w AS (SELECT component, m0, m1, l, u0 * s AS u0, u1 * s AS u1 FROM (SELECT *, CASE WHEN abs(u0) >= abs(u1) THEN sign(u0) ELSE sign(u1) END AS s FROM u))
+"""
 
-def _gram_model(spark, d):
-    return pca.SparsePCA(n_components=5, svd_method="gram").fit(embedding_matrix(spark, d))
 
+def _plane(spark: SparkSession, d: str) -> tuple[SparseMatrix, pca.PCAModel]:
+    m = embedding_matrix(spark, d)
+    return m, pca.MaskedSparsePCA(_first_columns(m, 2), n_components=2, svd_method="lanczos").fit(m)
 
-@query("pca_explained_variance_ratio")
+
+@query("pca_explained_variance_ratio", _PLANE + "SELECT component, round(l / sum(l) OVER (), 6) AS ratio FROM w")
 def pca_explained_variance_ratio(spark, d):
-    return _gram_model(spark, d).explained_variance_ratio()
+    return rounded(_plane(spark, d)[1].explained_variance_ratio(), "ratio")
 
 
-@query("pca_cumulative")
+@query("pca_cumulative", _PLANE + "SELECT component, round(sum(l) OVER (ORDER BY component) / sum(l) OVER (), 6) AS cumulative FROM w")
 def pca_cumulative(spark, d):
-    return _gram_model(spark, d).cumulative_explained_variance_ratio()
+    return rounded(_plane(spark, d)[1].cumulative_explained_variance_ratio(), "cumulative")
 
 
-@query("pca_feature_importances")
+@query("pca_feature_importances", _PLANE + "SELECT component, CAST(col_id AS BIGINT) AS col_id, round(CASE WHEN col_id = 0 THEN u0 * u0 ELSE u1 * u1 END, 6) AS importance FROM w, (VALUES (0), (1)) AS t(col_id)")
 def pca_feature_importances(spark, d):
-    return _gram_model(spark, d).feature_importances()
+    return rounded(_plane(spark, d)[1].feature_importances(), "importance")
 
 
-@query("pca_masked_transform")
+@query("pca_masked_transform", _PLANE + "SELECT id AS row_id, component, round((x0 - m0) * u0 + (x1 - m1) * u1, 6) + 0.0 AS score FROM x, w")
 def pca_masked_transform(spark, d):
-    m = embedding_matrix(spark, d)
-    mask = m.cols.select(F.col("col_id").alias("axis_id"), (F.col("col_id") < 32).alias("keep"))
-    return pca.MaskedSparsePCA(mask, n_components=5, svd_method="gram").fit(m).transform(m)
+    m, model = _plane(spark, d)
+    return model.transform(m).select("row_id", "component", (F.round("score", 6) + 0.0).alias("score"))
 
 
 @query("tsne")

@@ -100,7 +100,50 @@ def test_pca_errors_and_rank(spark):
         pca.SparsePCA(svd_method="jacobi")
 
 
-def test_covariance(spark):
+def test_lanczos_goes_on_until_the_residuals_are_small(spark):
+    """A slowly falling spectrum needs more steps than components; a repeated value needs a new direction."""
+    rng = np.random.default_rng(3)
+    u, v = np.linalg.qr(rng.normal(size=(90, 60)))[0], np.linalg.qr(rng.normal(size=(60, 60)))[0]
+    x = u @ np.diag(10 * 0.97 ** np.arange(60)) @ v.T
+    m = matrix_of(spark, x)
+    model = pca.SparsePCA(n_components=4, center=False, tolerance=1e-9).fit(m)
+    c = x.T @ x / 89
+    assert np.abs(c @ model.loadings.T - model.loadings.T * model.variances).max() < 1e-6
+    assert model.variances == pytest.approx(np.linalg.eigvalsh(c)[::-1][:4], rel=1e-8)
+    rough = pca.SparsePCA(n_components=4, center=False, max_iter=6).fit(m)
+    assert np.abs(c @ rough.loadings.T - rough.loadings.T * rough.variances).max() > 1e-3
+    twice = pca.SparsePCA(n_components=3, center=False).fit(matrix_of(spark, np.vstack([5 * np.eye(4), np.zeros((1, 4))])))
+    assert twice.variances == pytest.approx([25 / 4] * 3) and twice.loadings @ twice.loadings.T == pytest.approx(np.eye(3), abs=1e-8)
+
+
+def test_sums_are_merged_as_a_tree(spark, monkeypatch):
+    monkeypatch.setattr(pca, "FAN_IN", 2)
+    x = planted()[:64]
+    m = matrix_of(spark, x)
+    many = m.with_entries(m.entries.repartition(13, "row_id"))
+    got = pca.gram_matrix(pca._cells(many), np.arange(40))
+    assert got == pytest.approx(x.T @ x)
+
+
+def test_centring_of_the_decomposition_alone(spark):
+    x = planted()[:60] + 3
+    model = pca.SparsePCA(n_components=2, svd_method="gram", center_svd=False).fit(matrix_of(spark, x))
+    assert model.variances == pytest.approx(np.linalg.svd(x, compute_uv=False)[:2] ** 2 / 59)
+    got = {(r[0], r[1]): r[2] for r in model.transform(matrix_of(spark, x)).collect()}
+    assert [got[i, 0] for i in range(60)] == pytest.approx(list((x - x.mean(axis=0)) @ model.loadings[0]))
+    with pytest.raises(ValueError):
+        pca.RandomSVD(normalizer="no such")
+
+
+def test_covariance(spark, monkeypatch):
+    x = np.where(np.random.default_rng(1).random((30, 8)) < 0.3, 1.5, 0)
+    want = {(i, j): (x.T @ x)[i, j] for i in range(8) for j in range(i, 8) if (x.T @ x)[i, j]}
+    assert {(r[0], r[1]): r[2] for r in pca.gram_entries(matrix_of(spark, x)).collect()} == pytest.approx(want)
+    with monkeypatch.context() as patch:  # wide matrices
+        patch.setattr(pca, "GRAM_COLUMNS", 4)
+        assert {(r[0], r[1]): r[2] for r in pca.gram_entries(matrix_of(spark, x)).collect()} == pytest.approx(want)
+    zeros = make(spark, (3, 2, [(0, 0, 0.0), (0, 1, 2.0)]))  # a stored zero shares a row
+    assert sorted(map(tuple, pca.gram_entries(zeros).collect())) == [(0, 0, 0.0), (0, 1, 0.0), (1, 1, 4.0)]
     want = np.cov(dense(F1).T)
     got = {(r[0], r[1]): r[2] for r in pca.covariance(make(spark, F1)).collect()}
     assert got == pytest.approx({(i, j): want[i, j] for i in range(3) for j in range(i, 3)})
@@ -157,7 +200,8 @@ def test_registry_matches_sql(spark):
     d = "/root/testdata/sf0.001"
     for t in ("part", "supplier", "lineitem", "orders", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
-    for name in ("sum_col", "var_row", "var_batch_row", "normalize_row", "sim_pearson", "pca_covariance"):
+    names = [n for n in registry.ORACLE_SQL if n.startswith("pca_")]
+    for name in ("sum_col", "var_row", "var_col_chunk", "var_batch_row", "normalize_row", "sim_pearson", *names):
         want = con.sql(registry.ORACLE_SQL[name])
         got = registry.QUERIES[name](spark, d)
         cols = sorted(got.columns)
