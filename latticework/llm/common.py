@@ -1,15 +1,13 @@
-"""Helpers that the training-data operators share: shared storage, table reads, joins that
-stay even when a few keys hold most rows."""
+"""Helpers that the training-data operators share: table reads, joins that stay even when a few keys hold
+most rows, and files in shared storage."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latticework.session import share_package
+from latticework.session import delete_on_exit, share_package, shared_path, shared_root, write_shared  # noqa: F401
 
 #: A side is broadcast only when it was counted and holds at most this many rows.
 BROADCAST_ROWS = 200_000
@@ -21,46 +19,6 @@ HOT_ROWS = 256
 SALT = 64
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests on one
-    machine) a temporary folder takes its place.
-    """
-    sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    root = spark.conf.get("latticework.local.shared", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="latticework-")
-        spark.conf.set("latticework.local.shared", root)
-    return root
-
-
-def delete_on_exit(spark: SparkSession, path: str) -> None:
-    """Have the driver's file system delete ``path`` when it closes."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_root(spark)}/latticework/{name}-{uuid.uuid4().hex}"
-
-
-def write_shared(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back: lineage ends
-    here, and a lost executor costs no more than the stage that reads the table. The table goes
-    when the driver ends."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    schema = df.schema
-    df.write.parquet(path)
-    delete_on_exit(spark, path)
-    return spark.read.schema(schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     share_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -110,12 +68,19 @@ def join_small(left: DataFrame, right: DataFrame, keys: list[str], how: str = "l
     return left.withColumn("_salt", F.pmod(own, F.lit(SALT)).cast("int")).join(salted, [*keys, "_salt"], how).drop("_salt")
 
 
+#: names of schemes that Hadoop and pyarrow call differently
+_SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
 def open_filesystem(uri: str):
-    """pyarrow's file system for a folder that Spark names, and the path in it."""
+    """pyarrow's file system for a folder that Hadoop names in full, and the path in it. Raises ValueError for
+    schemes that pyarrow can't open; callers ask on the driver before tasks do."""
     from pyarrow import fs
 
-    if "://" not in uri and not uri.startswith("file:"):
-        return fs.LocalFileSystem(), uri
-    if uri.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
-    return fs.FileSystem.from_uri(uri)
+    scheme, colon, rest = uri.partition(":")
+    if not colon or scheme == "file":
+        return fs.LocalFileSystem(), "/" + (rest if colon else uri).lstrip("/")
+    try:
+        return fs.FileSystem.from_uri(f"{_SCHEMES.get(scheme, scheme)}:{rest}")
+    except (pa.ArrowInvalid, NotImplementedError, OSError) as e:
+        raise ValueError(f"executors can't open {scheme}: folders ({e})") from e

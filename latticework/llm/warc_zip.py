@@ -299,6 +299,7 @@ def archive_round_trip(pages: DataFrame, with_payload: bool = False, **cols) ->
     """
     spark = pages.sparkSession
     folder = shared_path(spark, "archives")
+    open_filesystem(folder)  # raises here, not in a task
     manifest = write_archives(plan_records(pages, **cols), folder)
     delete_on_exit(spark, folder)
     return read_archives(spark, manifest, folder, with_payload)

@@ -32,4 +32,12 @@ def test_shared_tables(spark):
     back = common.write_shared(df, "t")
     assert back.schema.names == ["a", "b"] and rows(back) == rows(df)
     assert common.shared_path(spark, "t") != common.shared_path(spark, "t")
-    assert common.open_filesystem("file:///tmp/x")[1] == "/tmp/x" and common.open_filesystem("/tmp/x")[1] == "/tmp/x"
+    assert all(common.open_filesystem(x)[1] == "/tmp/x" for x in ("file:///tmp/x", "file:/tmp/x", "/tmp/x"))
+    assert common.shared_root(spark).startswith("file:/")  # named in full
+    with pytest.raises(ValueError, match="viewfs"):
+        common.open_filesystem("viewfs://in/x")
+
+
+def test_names_that_are_free(spark):
+    df = spark.createDataFrame([(1, 2)], "_row long, _ROW_ long")
+    assert common.free_name(df, "_row") == "_row__" and common.free_name(df, "k") == "k"
