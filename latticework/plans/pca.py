@@ -74,7 +74,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], place: np.ndarray) -> Iterator[tu
             yield rows[known], at[known], values[known], part.num_rows
 
 
-def _merged(parts: DataFrame, tasks: int, shape: tuple[int, ...], until: int) -> DataFrame:
+def merge_arrays(parts: DataFrame, tasks: int, shape: tuple[int, ...], until: int) -> DataFrame:
     """Sums of arrays (part binary) that ``tasks`` tasks made, at most ``until`` of them, by a tree of tasks."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,7 +107,7 @@ def _partial_sums(rows: DataFrame, columns: np.ndarray, work, shape: tuple[int,
 def _summed(rows: DataFrame, columns: np.ndarray, work, shape: tuple[int, ...]) -> np.ndarray:
     """Sum over all rows of what ``work`` adds to an array of ``shape`` for each block."""
     parts, tasks = _partial_sums(rows, columns, work, shape)
-    merged = _merged(parts, tasks, shape, FAN_IN)
+    merged = merge_arrays(parts, tasks, shape, FAN_IN)
     return sum((np.frombuffer(bytes(r[0])).reshape(shape) for r in merged.toLocalIterator()), np.zeros(shape))
 
 
@@ -155,7 +155,7 @@ def _pair_table(m: SparseMatrix, center: bool, divisor: float, everywhere: bool)
                     value = total[i, j] - (sums[i] * sums[j] / n if center else 0.0)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(j), columns[i])), pa.array(columns[j]), pa.array(value / divisor)], names=["i", "j", "value"])
 
-    return _merged(parts, max(2, tasks), shape, 1).mapInArrow(out, "i long, j long, value double")
+    return merge_arrays(parts, max(2, tasks), shape, 1).mapInArrow(out, "i long, j long, value double")
 
 
 def gram_entries(m: SparseMatrix) -> DataFrame:
