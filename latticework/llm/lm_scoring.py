@@ -6,8 +6,10 @@ the class of their last two bytes. The model predicts a class from the two class
     score(w | v, u) = a[v] . q[w] + b[u] . r[w] + bias[w],
 
 a log-bilinear form whose normaliser over all classes is a product of two matrices of exponentials,
-so that normalised probabilities of all class triples come from batched matrix products. Inside a
-class a word has its share of the class's training tokens, less what the class leaves to words that
+so that normalised probabilities of all class triples come from batched matrix products. Both contexts
+are trained in one objective: after a start from the counts of neighbouring classes, tasks take
+noise-contrastive steps over the tokens of their own texts, and their models are averaged by tokens, in a
+few rounds over all training texts. Inside a class a word has its share of the class's training tokens, less what the class leaves to words that
 training never saw: as in the unigram base, all of those with one ending are one event. All counts
 come from all training texts.
 
@@ -18,6 +20,7 @@ every task; the others are looked up by a join of (row, word), whose keys are ra
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from latticework.plans.pca import merge_arrays
+
 from .common import with_row_key, write_shared
 
 #: words that are classes of their own, and classes by last two bytes
@@ -42,6 +47,11 @@ DIM = 24
 #: noise samples per token in the objective; their expectation is taken exactly
 NOISE = 20.0
 STEPS = 150
+#: rounds of the joint training over all texts, a task's passes in one, contexts of a step, steps of a task at least
+ROUNDS, PASSES, STEP_CONTEXTS, LEAST_STEPS = 2, 1, 2048, 100
+JOINT_RATE = 0.004
+#: tokens that a task holds at once
+HELD_TOKENS = 1 << 22
 LOG10 = math.log(10)
 
 
@@ -78,6 +88,115 @@ def train_nce(pairs: np.ndarray, noise: np.ndarray, dim: int = DIM, steps: int =
     return p[0], p[1], p[2]
 
 
+def _scatter(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """(n, dim) sums of ``values`` by row number."""
+    order = np.argsort(rows, kind="stable")
+    own = rows[order]
+    first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+    out = np.zeros((n, values.shape[1]), np.float32)
+    out[own[first]] = np.add.reduceat(values[order], first, axis=0)
+    return out
+
+
+def joint_loss(p: list[np.ndarray], u: np.ndarray, v: np.ndarray, data: np.ndarray, noise: np.ndarray) -> float:
+    """Noise-contrastive loss of counts ``data`` (contexts, classes) of classes after v after u, against NOISE draws for
+    each. ``p``: near and far contexts a and b, their targets q and r, bias."""
+    a, b, q, r, bias = p
+    odds = a[v] @ q.T + b[u] @ r.T + bias - np.log(NOISE * noise)
+    expected = data.sum(axis=1, keepdims=True) * NOISE * noise
+    return float((data * np.logaddexp(0, -odds) + expected * np.logaddexp(0, odds)).sum())
+
+
+def joint_gradients(p: list[np.ndarray], u: np.ndarray, v: np.ndarray, data: np.ndarray, noise: np.ndarray) -> list[np.ndarray]:
+    """Gradients of ``joint_loss``; the sum over draws is taken as its expectation."""
+    a, b, q, r, bias = p
+    near, far = a[v], b[u]
+    odds = np.concatenate([near, far], axis=1) @ np.concatenate([q, r], axis=1).T + (bias - np.log(NOISE * noise))
+    is_data = np.exp(np.negative(np.clip(odds, -30, 30, out=odds), out=odds), out=odds)
+    is_data = np.divide(1, np.add(is_data, 1, out=is_data), out=is_data)
+    # data and expected noise share a factor: (data + expected) * is_data - data
+    grad = data.sum(axis=1, keepdims=True) * (NOISE * noise)
+    grad = (grad + data) * is_data - data
+    return [_scatter(v, grad @ q, len(bias)), _scatter(u, grad @ r, len(bias)), grad.T @ near, grad.T @ far, grad.sum(axis=0)]
+
+
+class JointTrainer:
+    """Adam on the joint objective, over tokens as they come. Tokens are counted by their two contexts, so that a step
+    takes many tokens at once and all classes as noise."""
+
+    def __init__(self, p: list[np.ndarray], noise: np.ndarray, seed: int, rate: float):
+        self.p, self.rng, self.rate, self.steps, self.tokens = [x.copy() for x in p], np.random.default_rng(seed), rate, 0, 0
+        self._moments = [(np.zeros_like(x), np.zeros_like(x)) for x in p]
+        self._noise = noise.astype(np.float32)
+
+    def learn(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> None:
+        """PASSES over tokens, or as many as the least number of steps takes."""
+        n = len(self._noise)
+        cells, times = np.unique((u * n + v) * n + w, return_counts=True)
+        context = cells // n
+        first = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
+        ends = np.append(first[1:], len(cells))
+        u, v, w = context[first] // n, context[first] % n, cells % n
+        cuts = -(-len(first) // STEP_CONTEXTS)
+        passes = max(PASSES, -(-(LEAST_STEPS - self.steps) // cuts))
+        for k in range(passes):
+            for number, at in enumerate(np.array_split(self.rng.permutation(len(first)), cuts)):
+                sizes = ends[at] - first[at]
+                inner = np.arange(sizes.sum()) + np.repeat(first[at] - (np.cumsum(sizes) - sizes), sizes)
+                data = np.zeros((len(at), n), np.float32)
+                data[np.repeat(np.arange(len(at)), sizes), w[inner]] = times[inner]
+                grads = joint_gradients(self.p, u[at], v[at], data / data.sum(), self._noise)
+                self.steps += 1
+                rate = self.rate * (1 - 0.9 * (k * cuts + number) / (passes * cuts))
+                for x, (m, s), g in zip(self.p, self._moments, grads):
+                    m += 0.1 * (g - m)
+                    s += 0.01 * (g * g - s)
+                    x -= rate * (m / (1 - 0.9**self.steps)) / (np.sqrt(s / (1 - 0.99**self.steps)) + 1e-8)
+        self.tokens += int(times.sum())
+
+
+def train_jointly(tokens: DataFrame, p: list[np.ndarray], noise: np.ndarray, rounds: int = ROUNDS) -> list[np.ndarray]:
+    """Rounds over all texts of ``tokens`` (ids binary, as ``class_ids`` has them): every task trains from the same start
+    on its own texts, and the results are averaged, each weighing its tokens, by a tree of tasks."""
+    spark = tokens.sparkSession
+    shapes = [x.shape for x in p]
+    sizes = [x.size for x in p]
+    for turn in range(rounds):
+        shared = spark.sparkContext.broadcast((p, noise))  # of fixed size
+
+        def train(batches: Iterator[pa.RecordBatch], shared=shared, turn=turn) -> Iterator[pa.RecordBatch]:
+            trainer, held, n = None, [], 0
+
+            def learn() -> None:
+                nonlocal trainer, n
+                if trainer is None:  # what a task draws follows from its first text, so that a rerun draws alike
+                    trainer = JointTrainer(*shared.value, seed=zlib.crc32(held[0].tobytes()) + turn, rate=JOINT_RATE / (1 + turn))
+                trainer.learn(*(np.concatenate([x[i : len(x) - 2 + i] for x in held]).astype(np.int64) for i in range(3)))
+                held.clear()
+                n = 0
+
+            for batch in batches:
+                for x in batch.column(0):
+                    held.append(np.frombuffer(x.as_buffer(), np.int16))
+                    n += len(held[-1]) - 2
+                    if n >= HELD_TOKENS:
+                        learn()
+            if held:
+                learn()
+            total = np.zeros(1 + sum(sizes))
+            if trainer is not None:
+                total[0] = trainer.tokens
+                total[1:] = np.concatenate([x.ravel() for x in trainer.p]) * float(trainer.tokens)
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["part"])
+
+        parts = merge_arrays(tokens.mapInArrow(train, "part binary"), tokens.rdd.getNumPartitions(), (1 + sum(sizes),), 16)
+        total = sum((np.frombuffer(bytes(r[0])) for r in parts.toLocalIterator()), np.zeros(1 + sum(sizes)))
+        if total[0]:
+            flat = (total[1:] / total[0]).astype(np.float32)
+            p = [x.reshape(s) for x, s in zip(np.split(flat, np.cumsum(sizes)[:-1]), shapes)]
+    return p
+
+
 @dataclass
 class ClassModel:
     """Context and target vectors of the nearer and the farther class before, and biases."""
@@ -137,32 +256,50 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 
 def head_words(vocabulary: DataFrame) -> list[tuple[bytes, int]]:
-    """The most frequent words with their counts, HEAD at most, the most frequent first. A histogram of
-    the counts' logarithms tells where to cut, so that only the words taken leave the executors."""
+    """The SHORTLIST most frequent words with their counts, and behind them others that are frequent, HEAD at most, the
+    most frequent first. A histogram of the counts' logarithms tells where to cut, so that only the words taken leave
+    the executors. What a word scores doesn't depend on whether it is among the others."""
+    top = vocabulary.orderBy(F.desc("n"), "word").limit(SHORTLIST).toArrow()
     level = F.floor(F.log2("n") * 16).cast("int")
     sizes = vocabulary.groupBy(level.alias("level")).agg(F.count("*").alias("words"), F.min("n").alias("least")).orderBy(F.desc("level")).collect()
+    found = dict(zip(top["word"].to_pylist(), top["n"].to_pylist()))
     least, taken = None, 0
     for r in sizes:  # a thousand levels at most
         taken += r["words"]
-        if taken > HEAD:
+        if taken > HEAD - SHORTLIST:
             break
         least = r["least"]
-    if least is None:  # over HEAD words share the highest level, or there is no word
-        rows = vocabulary.orderBy(F.desc("n"), "word").limit(HEAD if not sizes else SHORTLIST).toArrow()
-    else:
+    if least is not None:
         rows = vocabulary.filter(F.col("n") >= least).toArrow()
-    return sorted(zip(rows["word"].to_pylist(), rows["n"].to_pylist()), key=lambda x: (-x[1], x[0]))
+        found |= dict(zip(rows["word"].to_pylist(), rows["n"].to_pylist()))
+    return sorted(found.items(), key=lambda x: (-x[1], x[0]))
+
+
+def class_ids(texts: DataFrame, lexicon) -> DataFrame:
+    """(ids binary) for each text: 16-bit class numbers, two STARTs before and END behind."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, endings = lexicon.value.classes()
+        get = of.get
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                out = []
+                for text in batch.column(0).slice(lo, 256):
+                    ids = [c if (c := get(w)) is not None else endings.get(w[-2:], REST) for w in words_of(text.as_py())]
+                    out.append(np.array([START, START, *ids, END], np.int16).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["ids"])
 
+    return texts.mapInArrow(run, "ids binary")
 
-def _class_pairs(texts: DataFrame, lexicon) -> DataFrame:
+
+def _class_pairs(tokens: DataFrame) -> DataFrame:
     """(kind, cell, n), cell = context * CLASSES + class: counts of classes after the class before (kind 0) and after the one
     before that (kind 1). A task sends at most
     2 * CLASSES**2 rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, endings = lexicon.value.classes()
         total = np.zeros((2, CLASSES * CLASSES), np.int64)
-        get, held, size = of.get, [], 0
+        held, size = [], 0
 
         def count() -> None:
             nonlocal size
@@ -173,11 +310,9 @@ def _class_pairs(texts: DataFrame, lexicon) -> DataFrame:
             size = 0
 
         for batch in batches:
-            for text in batch.column(0):
-                words = words_of(text.as_py())
-                ids = [c if (c := get(w)) is not None else endings.get(w[-2:], REST) for w in words]
-                held.append(np.array([START, START, *ids, END], np.int64))
-                size += len(words)
+            for x in batch.column(0):
+                held.append(np.frombuffer(x.as_buffer(), np.int16).astype(np.int64))
+                size += len(held[-1])
                 if size >= 1 << 18:
                     count()
         count()
@@ -185,7 +320,7 @@ def _class_pairs(texts: DataFrame, lexicon) -> DataFrame:
             at = np.flatnonzero(total[kind])
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), pa.array(at.astype(np.int32)), pa.array(total[kind][at])], names=["kind", "cell", "n"])
 
-    return texts.mapInArrow(run, "kind int, cell int, n long").groupBy("kind", "cell").agg(F.sum("n").alias("n"))
+    return tokens.mapInArrow(run, "kind int, cell int, n long").groupBy("kind", "cell").agg(F.sum("n").alias("n"))
 
 
 @dataclass
@@ -219,7 +354,8 @@ def fit(train: DataFrame) -> tuple[ScoringModel, DataFrame]:
     lexicon = Lexicon(words, np.array([n for _, n in head], np.int64), endings)
     shared = spark.sparkContext.broadcast(lexicon)
     pairs = np.zeros((2, CLASSES * CLASSES))
-    counted = write_shared(_class_pairs(texts, shared), "pairs")
+    tokens = write_shared(class_ids(texts, shared), "classes")
+    counted = write_shared(_class_pairs(tokens), "pairs")
     for kind in (0, 1):
         rows = counted.filter(F.col("kind") == kind).select("cell", "n").toArrow()  # CLASSES**2 rows at most
         pairs[kind, rows["cell"].to_numpy()] = rows["n"].to_numpy()
@@ -228,8 +364,9 @@ def fit(train: DataFrame) -> tuple[ScoringModel, DataFrame]:
     noise = (class_tokens + 0.5) / (class_tokens.sum() + 0.5 * CLASSES)
     near = train_nce(pairs[0], noise)
     far = train_nce(pairs[1], noise, seed=2)
-    # the two forms are joined about the biases; the farther context adds what it says beyond them
-    model = ClassModel((near[0], near[1]), (far[0] * 0.5, far[1]), near[2])
+    # a start from which both are trained together: the farther context says half of what it says alone
+    a, b, q, r, bias = train_jointly(tokens, [near[0], far[0] * np.float32(0.5), near[1], far[1], near[2]], noise)
+    model = ClassModel((a, q), (b, r), bias)
     unseen = np.full(CLASSES, 1e-12)
     seen_once = {e: by_ending[e] for e in endings}
     for i, e in enumerate(endings):
