@@ -12,8 +12,8 @@ from latticework.matrix import SparseMatrix
 from latticework.operators import preprocess, stats
 from latticework.plans import pca
 from latticework.plans.tsne import tsne
-from latticework.sources.tables import embedding_matrix, order_part, part_supp, read, vectors
-from latticework.streaming.chunks import ChunkStats
+from latticework.sources.tables import doc_term, embedding_matrix, event_stream, order_part, part_supp, read, user_event, vectors
+from latticework.streaming.chunks import ChunkStats, run_stream, stream_stats
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -348,8 +348,29 @@ def pca_masked_transform(spark, d):
 
 @query("tsne")
 def tsne_query(spark, d):
-    """All vectors, up to the bound of the operator."""
-    return tsne(vectors(spark, d), epochs=250)
+    """All vectors, with the operator's defaults."""
+    return tsne(vectors(spark, d))
+
+
+# --- streams and wide matrices --------------------------------------------------------------------
+
+
+@query("stream_row_stats", """SELECT user_id AS row_id, CAST(count(*) AS BIGINT) AS nonzero, round(sum(value), 4) AS sum, round(var_pop(value), 4) AS variance,
+min(value) AS min_value, max(value) AS max_value FROM events GROUP BY user_id""")
+def stream_row_stats(spark, d):
+    """Events as they arrive: the running statistics of each user, after the last batch."""
+    found = run_stream(stream_stats(event_stream(spark, d), "row"))
+    return found.select("row_id", F.col("k").alias("nonzero"), F.round("s", 4).alias("sum"), F.round("variance", 4).alias("variance"), F.col("mn").alias("min_value"), F.col("mx").alias("max_value"))
+
+
+query("user_event_sum_col", """WITH t AS (SELECT event_type, row_number() OVER (ORDER BY event_type) - 1 AS col_id FROM (SELECT DISTINCT event_type FROM events))
+SELECT CAST(col_id AS BIGINT) AS col_id, round(sum(value), 4) AS sum FROM events JOIN t USING (event_type) GROUP BY col_id""")(lambda s, d: rounded(stats.total(user_event(s, d), "column"), "sum", digits=4))
+
+_TERMS = """WITH w AS (SELECT doc_id, unnest(list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS term FROM documents),
+coo AS (SELECT doc_id AS row_id, CAST('0x' || substr(md5(term), 1, 15) AS BIGINT) AS col_id, CAST(count(*) AS DOUBLE) AS value FROM w GROUP BY ALL)
+"""
+query("doc_term_nonzero_col", _TERMS + "SELECT col_id, count(*) AS nonzero FROM coo GROUP BY col_id")(lambda s, d: stats.nonzero(doc_term(s, d), "column"))
+query("doc_term_sum_row", _TERMS + "SELECT d.doc_id AS row_id, coalesce(sum(value), 0) AS sum FROM documents d LEFT JOIN coo ON d.doc_id = row_id GROUP BY d.doc_id")(lambda s, d: stats.total(doc_term(s, d), "row"))
 
 
 def matrix(spark: SparkSession, sf_dir: str) -> SparseMatrix:

@@ -10,11 +10,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from latticework.matrix import SparseMatrix, axis_key
 from latticework.operators.stats import densify, extremes, merged_moments, moments, stored_variance
+from latticework.session import delete_on_exit, shared_path
 
 
 def chunk_state(entries: DataFrame, axis: str) -> DataFrame:
@@ -55,3 +57,21 @@ def stream_stats(entries: DataFrame, axis: str) -> DataFrame:
     """Running (key, k, s, q, m2, mn, mx, variance) of a stream of entries; for ``outputMode`` complete or
     update. The state is bounded by the axis, so no watermark is needed."""
     return chunk_state(entries, axis).withColumn("variance", stored_variance())
+
+
+def run_stream(stats: DataFrame) -> DataFrame:
+    """Run a query of running statistics over all there is to read, and return the table after the last batch. Progress,
+    state and result are in shared storage, so a query that is started again goes on where it was."""
+    spark = stats.sparkSession
+    out, progress = shared_path(spark, "stream"), shared_path(spark, "progress")
+    for path in (out, progress):
+        delete_on_exit(spark, path)
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(out)
+
+    stats.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()
+    try:
+        return spark.read.schema(stats.schema).parquet(out)
+    except AnalysisException:  # nothing to read, no batch
+        return spark.createDataFrame([], stats.schema)

@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 
 from latticework.functions.similarity import MEASURES, pair_similarity
 from latticework.operators import stats
-from latticework.plans import pca
-from latticework.plans.tsne import tsne
+from latticework.plans import pca, tsne
 from latticework.streaming.chunks import ChunkStats, chunk_state, merge_states, stream_stats
 from tests.test_matrix import F1, column, dense, make
 
@@ -177,17 +176,66 @@ def test_stream(spark, tmp_path):
     assert got == {0: (2, 4, 1), 1: (2, 9, 0.25), 2: (2, 8, 4)}
 
 
-def test_tsne(spark):
+def clouds():
     rng = np.random.default_rng(0)
-    x = np.concatenate([rng.normal(size=(40, 8)) * 0.1 + 5 * np.eye(8)[k] for k in range(3)])
-    v = spark.createDataFrame([(i, [float(a) for a in r]) for i, r in enumerate(x)], "id long, features array<double>")
-    y = np.array([r[1] for r in tsne(v, perplexity=10, epochs=200).orderBy("id").collect()])
+    return np.concatenate([rng.normal(size=(40, 8)) * 0.1 + 5 * np.eye(8)[k] for k in range(3)])
+
+
+def vectors_of(spark, x):
+    return spark.createDataFrame([(10 * i + 3, [float(a) for a in r]) for i, r in enumerate(x)], "id long, features array<double>")
+
+
+def test_tsne(spark):
+    y = np.array([r[1] for r in tsne.tsne(vectors_of(spark, clouds()), perplexity=10, epochs=200).orderBy("id").collect()])
     assert y.shape == (120, 2) and np.isfinite(y).all()
     d = ((y[:, None] - y[None]) ** 2).sum(axis=2)
     np.fill_diagonal(d, np.inf)
     assert (d.argmin(axis=1) // 40 == np.arange(120) // 40).mean() > 0.95
     with pytest.raises(ValueError):
-        tsne(v, perplexity=60)
+        tsne.tsne(vectors_of(spark, clouds()), perplexity=60)
+    with pytest.raises(ValueError):
+        tsne.tsne(vectors_of(spark, clouds()).limit(0))
+    config = tsne.TSNEConfig(output_dim=3, perplexity=5, epochs=5)
+    assert dict(config.run_f32(vectors_of(spark, clouds())).dtypes)["embedding"] == "array<float>"
+    assert len(config.run_f64(vectors_of(spark, clouds())).first()["embedding"]) == 3
+
+
+@pytest.mark.parametrize("dim", [2, 3])
+def test_tree_stands_for_far_points(dim):
+    rng = np.random.default_rng(1)
+    y = np.concatenate([rng.normal(size=(150, dim)), 30 + rng.normal(size=(100, dim)), np.zeros((3, dim))])  # three in one place
+    away = y[:, None] - y[None]
+    w = 1 / (1 + (away**2).sum(axis=2))
+    np.fill_diagonal(w, 0)
+    tree, every = tsne.Tree(y), np.arange(len(y))
+    force, weight = tree.repulsion(y, every, 0.0)
+    assert force == pytest.approx((w[:, :, None] ** 2 * away).sum(axis=1), abs=1e-9) and weight == pytest.approx(w.sum(axis=1))
+    near, about = tree.repulsion(y, every, 0.5)
+    assert 0 < np.abs(about - weight).max() < 0.02 * weight.max() and np.abs(near - force).max() < 0.05 * np.abs(force).max()
+
+
+def test_tsne_in_tasks_and_blocks_is_the_same(spark, monkeypatch):
+    v = vectors_of(spark, clouds())
+    want = {r[0]: r[1] for r in tsne.tsne(v, perplexity=8, epochs=12).collect()}
+    monkeypatch.setattr(tsne, "LOCAL_ROWS", 10)
+    monkeypatch.setattr(tsne, "BLOCK_BYTES", 64 * 50)
+    got = {r[0]: r[1] for r in tsne.tsne(v, perplexity=8, epochs=12).collect()}
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], rel=1e-6, abs=1e-12) for i in want)
+
+
+def test_neighbours(spark):
+    x = clouds()
+    table = tsne.neighbours(vectors_of(spark, x), np.arange(120) * 10 + 3, 6.0).collect()
+    p = np.zeros((120, 120))
+    for r in table:
+        p[r["i"], r["js"]] = r["ps"]
+    assert p == pytest.approx(p.T) and p.sum() == pytest.approx(1)
+    d = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    np.fill_diagonal(d, np.inf)
+    near = np.argsort(d, axis=1)[:, :18]
+    want = np.zeros((120, 120))
+    want[np.arange(120)[:, None], near] = tsne.row_probabilities(np.take_along_axis(d, near, 1), 6.0)
+    assert p == pytest.approx((want + want.T) / 240, abs=1e-7)
 
 
 def test_registry_matches_sql(spark):
@@ -198,9 +246,9 @@ def test_registry_matches_sql(spark):
 
     con = duckdb.connect()
     d = "/root/testdata/sf0.001"
-    for t in ("part", "supplier", "lineitem", "orders", "embeddings"):
+    for t in ("part", "supplier", "lineitem", "orders", "embeddings", "events", "documents"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
-    names = [n for n in registry.ORACLE_SQL if n.startswith("pca_")]
+    names = [n for n in registry.ORACLE_SQL if n.startswith(("pca_", "stream_", "user_event", "doc_term"))]
     for name in ("sum_col", "var_row", "var_col_chunk", "var_batch_row", "normalize_row", "sim_pearson", *names):
         want = con.sql(registry.ORACLE_SQL[name])
         got = registry.QUERIES[name](spark, d)
