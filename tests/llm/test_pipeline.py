@@ -32,9 +32,20 @@ def test_stages(spark):
 def test_odd_rows(spark):
     rows = [(1, None, None, None, None), (None, "the dog", "en", "s", 7), (2, "", "en", "s", 0), (3, "the cat and the dog", None, None, 1), (3, "the cat and the dog", None, None, 1), (4, "12 34", "en", "s", 5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    for data in (docs, docs.limit(0)):
+    clash = docs.selectExpr("*", "1 AS _row", "2 AS fp", "'x' AS masked", "3 AS _copies")
+    for data in (docs, docs.limit(0), clash):
         out = data
         for name, stage in corpus_pipeline.STAGES:
             out = write_shared(stage(spark, out, SF), name)
         assert set(out.columns) >= {"doc_id", "sequence_id", "offset"}
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_texts_of_several_languages_stay(spark):
+    words = {"en": "the dog and the fox then the other things that were there", "de": "der hund und der fuchs dann noch mehr dinge die dort waren", "fr": "le chien et le renard puis les autres choses qui étaient là"}
+    rows = [(i, t, lang, "s", len(t)) for i, (lang, t) in enumerate(list(words.items()) * 6)]
+    mixed = " ".join(words.values())
+    rows += [(100, mixed, None, "s", len(mixed)), (101, "\u0301\u0301", "en", "s", 2), (102, "12 34", "en", "s", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r["doc_id"]: r["lang"] for r in dict(corpus_pipeline.STAGES)["language_id"](spark, docs, SF).collect()}
+    assert set(kept) == {*range(18), 100} and kept[100] in words
