@@ -183,7 +183,7 @@ def test_warc_query(spark):
 
 def test_warc_copies_and_edges(spark, monkeypatch):
     monkeypatch.setattr(warc_zip, "PACKAGE_BYTES", 200)
-    rows = [(i, f"http://h/{i} ä", "same ü" if i % 2 else "own %d" % (i // 4)) for i in range(40)] + [(90, None, None), (91, "u", "")]
+    rows = [(i, f"http://h/{i} ä", "same ü" if i % 2 else "own %d" % (i // 4)) for i in range(40)] + [(90, None, None), (91, "u", ""), (92, "long", "long é " * 500_000)]
     pages = spark.createDataFrame(rows, PAGES).withColumn("payload", F.lit(1))
     got = warc_zip.archive_round_trip(pages, with_payload=True).collect()
     assert sorted(tuple(r)[:6] for r in got) == brute_warc(rows)

@@ -193,6 +193,7 @@ def test_joint_gradients():
 def test_joint_training_learns_both_contexts(spark, monkeypatch):
     """A word repeats one of the two before it: tasks that train apart and are averaged learn from both."""
     monkeypatch.setattr(lm_scoring, "JOINT_RATE", 0.05)
+    monkeypatch.setattr(lm_scoring, "TASK_TOKENS", 3000)
     rng = np.random.default_rng(3)
     n = lm_scoring.CLASSES
     x = rng.integers(0, 4, 6000)
@@ -205,7 +206,7 @@ def test_joint_training_learns_both_contexts(spark, monkeypatch):
     data = np.zeros((16, n))
     np.add.at(data, (x[:-2] * 4 + x[1:-1], x[2:]), 1)
     u, v = np.arange(16) // 4, np.arange(16) % 4
-    done = lm_scoring.train_jointly(tokens, start, noise, rounds=3)
+    done = lm_scoring.train_jointly(tokens, start, noise, 6000, rounds=3)
     assert lm_scoring.joint_loss(done, u, v, data, noise) < 0.9 * lm_scoring.joint_loss(start, u, v, data, noise)
     near, far = done[0][:4] @ done[2][:4].T, done[1][:4] @ done[3][:4].T
     assert (near.argmax(axis=1) == np.arange(4)).all() and (far.argmax(axis=1) == np.arange(4)).all()
