@@ -383,8 +383,9 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     row of ``docs``.
 
     A null or empty text is its end id alone; a null id stays null; repeated rows are packed as
-    often as they come; an empty table gives an empty table; other columns are ignored. Pieces of a
-    sequence follow each other without a gap.
+    often as they come; an empty table gives an empty table; other columns are ignored. Pieces of equal
+    length are told apart by row key; of two packings with as many sequences the one with the fuller bins
+    counts, of equal ones that of the first island. Pieces of a sequence follow each other without a gap.
     """
     pieces = write_shared(token_pieces(docs, id_col, text_col, tokenizer, capacity, with_ids), "pieces")
     full = pieces.filter(F.col("length") == capacity)
