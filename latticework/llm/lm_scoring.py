@@ -50,8 +50,8 @@ STEPS = 150
 #: rounds of the joint training over all texts, a task's passes in one, contexts of a step, steps of a task at least
 ROUNDS, PASSES, STEP_CONTEXTS, LEAST_STEPS = 2, 1, 2048, 100
 JOINT_RATE = 0.004
-#: tokens that a task holds at once
-HELD_TOKENS = 1 << 22
+#: tokens of a task of the joint training at least, where there are so many, and tokens that it holds at once
+TASK_TOKENS, HELD_TOKENS = 1 << 21, 1 << 22
 LOG10 = math.log(10)
 
 
@@ -155,10 +155,13 @@ class JointTrainer:
         self.tokens += int(times.sum())
 
 
-def train_jointly(tokens: DataFrame, p: list[np.ndarray], noise: np.ndarray, rounds: int = ROUNDS) -> list[np.ndarray]:
-    """Rounds over all texts of ``tokens`` (ids binary, as ``class_ids`` has them): every task trains from the same start
-    on its own texts, and the results are averaged, each weighing its tokens, by a tree of tasks."""
+def train_jointly(tokens: DataFrame, p: list[np.ndarray], noise: np.ndarray, count: int, rounds: int = ROUNDS) -> list[np.ndarray]:
+    """Rounds over all texts of ``tokens`` (ids binary, as ``class_ids`` has them; ``count`` tokens): every task trains from the
+    same start on its own texts, and the results are averaged, each weighing its tokens, by a tree of tasks. Small
+    partitions share a task, as a task takes a least number of steps."""
     spark = tokens.sparkSession
+    tasks = max(1, min(tokens.rdd.getNumPartitions(), -(-count // TASK_TOKENS)))
+    tokens = tokens.coalesce(tasks)
     shapes = [x.shape for x in p]
     sizes = [x.size for x in p]
     for turn in range(rounds):
@@ -189,7 +192,7 @@ def train_jointly(tokens: DataFrame, p: list[np.ndarray], noise: np.ndarray, rou
                 total[1:] = np.concatenate([x.ravel() for x in trainer.p]) * float(trainer.tokens)
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["part"])
 
-        parts = merge_arrays(tokens.mapInArrow(train, "part binary"), tokens.rdd.getNumPartitions(), (1 + sum(sizes),), 16)
+        parts = merge_arrays(tokens.mapInArrow(train, "part binary"), tasks, (1 + sum(sizes),), 16)
         total = sum((np.frombuffer(bytes(r[0])) for r in parts.toLocalIterator()), np.zeros(1 + sum(sizes)))
         if total[0]:
             flat = (total[1:] / total[0]).astype(np.float32)
@@ -365,7 +368,7 @@ def fit(train: DataFrame) -> tuple[ScoringModel, DataFrame]:
     near = train_nce(pairs[0], noise)
     far = train_nce(pairs[1], noise, seed=2)
     # a start from which both are trained together: the farther context says half of what it says alone
-    a, b, q, r, bias = train_jointly(tokens, [near[0], far[0] * np.float32(0.5), near[1], far[1], near[2]], noise)
+    a, b, q, r, bias = train_jointly(tokens, [near[0], far[0] * np.float32(0.5), near[1], far[1], near[2]], noise, int(class_tokens.sum()))
     model = ClassModel((a, q), (b, r), bias)
     unseen = np.full(CLASSES, 1e-12)
     seen_once = {e: by_ending[e] for e in endings}
