@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,12 +30,17 @@ from latticework.session import write_shared
 
 log = logging.getLogger(__name__)
 
-#: columns up to which the Gram matrix is built
+#: columns up to which the Gram matrix is decomposed on the driver, and those of which its pairs are block products
 GRAM_COLUMNS = 4096
 #: rows of a dense block
 BLOCK_ROWS = 512
 #: arrays that one task merges at most, and bytes of them
 FAN_IN, FAN_IN_BYTES = 16, 1 << 28
+#: columns on a side of a tile of X'X, rows of it that are summed up and written at once, and blocks of rows that one
+#: task multiplies for a tile
+TILE, STRIP, TILE_BLOCKS = 1024, 64, 128
+#: tasks that tiles are dealt to at most, and tiles' parts or strips that a task has on average up to there
+TILE_TASKS, TILE_SHARE, STRIP_SHARE = 1024, 4, 8
 #: Lanczos steps between looks at the residuals
 LOOK_EVERY = 4
 NORMALIZERS = ("qr",)
@@ -129,10 +135,13 @@ def gram_matrix(rows: DataFrame, columns: np.ndarray) -> np.ndarray:
 
 def _pair_table(m: SparseMatrix, center: bool, divisor: float, everywhere: bool) -> DataFrame:
     """(i, j, value) for i <= j, X'X over the divisor, less the means' part if centred; of all pairs, or of those with a
-    common row. Block products, merged by a tree down to one array, whose rows one task writes out."""
+    common row. Block products, merged by a tree down to one array, whose rows one task writes out; over TILE
+    columns, by tiles."""
     n = m.nrows
-    columns = m.axis("column").orderBy("col_id").toArrow().column(0).to_numpy().astype(np.int64)  # GRAM_COLUMNS at most
+    columns = m.axis("column").orderBy("col_id").toArrow().column(0).to_numpy().astype(np.int64)  # the result's rows are its square
     width = len(columns)
+    if width > TILE:
+        return _tiled_pairs(write_shared(_cells(m), "cells"), columns, n, center, divisor, everywhere)
     shape = (2 * width + 1, width)  # X'X, common rows, sums
 
     def work(total, r, c, v, k):
@@ -158,6 +167,129 @@ def _pair_table(m: SparseMatrix, center: bool, divisor: float, everywhere: bool)
     return merge_arrays(parts, max(2, tasks), shape, 1).mapInArrow(out, "i long, j long, value double")
 
 
+#: a stored cell in a block of rows and a block of columns
+_CELL = np.dtype([("r", "<u2"), ("c", "<u2"), ("v", "<f8")])
+
+
+def _add_product(total: np.ndarray, common: np.ndarray | None, x: np.ndarray, y: np.ndarray) -> None:
+    """Add to ``total`` the product of two column blocks of the same rows, given as cells in order of rows, and mark in
+    ``common`` the pairs that share a row: one by one where they are few, else as dense matrices."""
+    height, (w, _) = int(x["r"].max()) + 1, total.shape
+    per_row = np.bincount(y["r"], minlength=height)
+    times = per_row[x["r"]]
+    pairs = int(times.sum())
+    if pairs <= 2 * w * w:
+        at = np.arange(pairs) - np.repeat(np.cumsum(times) - times, times) + np.repeat((np.cumsum(per_row) - per_row)[x["r"]], times)
+        cell = np.repeat(x["c"].astype(np.int64) * w, times) + y["c"][at]
+        np.add.at(total.reshape(-1), cell, np.repeat(x["v"], times) * y["v"][at])
+        if common is not None:
+            common.reshape(-1)[cell] = True
+        return
+    shape = (max(height, len(per_row)), w)
+    total += _dense_block(x["r"], x["c"], x["v"], shape).T @ _dense_block(y["r"], y["c"], y["v"], shape)
+    if common is not None:
+        common |= _dense_block(x["r"], x["c"], 1.0, shape).T @ _dense_block(y["r"], y["c"], 1.0, shape) > 0
+
+
+def _tiled_pairs(cells: DataFrame, columns: np.ndarray, n: int, center: bool, divisor: float, everywhere: bool) -> DataFrame:
+    """``_pair_table`` for any number of columns. Blocks of rows send their cells to the tiles of X'X in which they
+    have products, a tile's blocks are dealt to several tasks, and the sums meet by strips of a tile, which are written
+    from many tasks. No task holds more than a tile."""
+    spark, width = cells.sparkSession, len(columns)
+    side, strips = -(-width // TILE), -(-TILE // STRIP)
+    parts = max(1, -(-n // (BLOCK_ROWS * TILE_BLOCKS)))
+    tiles = side * (side + 1) // 2
+    tasks = min(TILE_TASKS, -(-tiles * parts // TILE_SHARE))
+
+    def add_sums(total, r, c, v, k):
+        np.add.at(total, c, v)
+
+    sums = _summed(cells, columns, add_sums, (width,)) if center else np.zeros(width)
+    shared = spark.sparkContext.broadcast((columns, sums))
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = TaskContext.get().partitionId()
+        for r, c, v, k in _blocks(batches, shared.value[0]):
+            order = np.argsort(c // TILE, kind="stable")  # cells stay in order of rows
+            packed = np.empty(len(r), _CELL)
+            packed["r"], packed["c"], packed["v"] = r[order], (c % TILE)[order], v[order]
+            present, first = np.unique((c // TILE)[order], return_index=True)
+            own = np.split(packed, first[1:])
+            has = np.zeros((len(present), k), np.float32)
+            for x, cut in enumerate(own[: len(present)]):
+                has[x, cut["r"]] = 1
+            at, left, right = [], [], []
+            for x, y in np.argwhere(np.triu(has @ has.T > 0)):
+                both = (has[x] > 0) & (has[y] > 0)
+                at.append(present[x] * side + present[y])
+                left.append(own[x][both[own[x]["r"]]].tobytes())
+                right.append(own[y][both[own[y]["r"]]].tobytes() if x != y else b"")
+            part = pa.array(np.full(len(at), count % parts, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), part, pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["tile", "part", "x", "y"])
+            count += 1
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, common, held = np.zeros((TILE, TILE)), None if everywhere else np.zeros((TILE, TILE), bool), None
+
+        def flush() -> pa.RecordBatch:
+            strip, at, value = [], [], []
+            for s in range(strips):
+                part = total[s * STRIP : (s + 1) * STRIP].ravel()
+                found = np.flatnonzero(part if common is None else common[s * STRIP : (s + 1) * STRIP])
+                if len(found):
+                    strip.append(held[0] * strips + s)
+                    at.append(found.astype("<i4").tobytes())
+                    value.append(part[found].tobytes())
+            total[:] = 0
+            if common is not None:
+                common[:] = False
+            return pa.RecordBatch.from_arrays([pa.array(strip, pa.int64()), pa.array(at, pa.binary()), pa.array(value, pa.binary())], names=["strip", "at", "value"])
+
+        for batch in batches:
+            for tile, part, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+                if held not in (None, (tile, part)):
+                    yield flush()
+                held = tile, part
+                x, y = np.frombuffer(x.as_buffer(), _CELL), np.frombuffer(y.as_buffer(), _CELL)
+                _add_product(total, common, x, y if len(y) else x)
+        if held:
+            yield flush()
+
+    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, s = shared.value
+        total, common, held = np.zeros(STRIP * TILE), np.zeros(STRIP * TILE, bool), None
+
+        def flush() -> pa.RecordBatch:
+            tile, strip = divmod(held, strips)
+            found = np.arange(STRIP * TILE) if everywhere else np.flatnonzero(common)
+            i, j = tile // side * TILE + strip * STRIP + found // TILE, tile % side * TILE + found % TILE
+            ok = (i <= j) & (j < width) & (found // TILE + strip * STRIP < TILE)
+            i, j, value = i[ok], j[ok], total[found[ok]]
+            total[:], common[:] = 0, False
+            if center:
+                value = value - s[i] * s[j] / n
+            return pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j]), pa.array(value / divisor)], names=["i", "j", "value"])
+
+        for batch in batches:
+            for strip, at, value in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                if held not in (None, strip):
+                    yield flush()
+                held = strip
+                at = np.frombuffer(at.as_buffer(), "<i4")
+                total[at] += np.frombuffer(value.as_buffer())
+                common[at] = True
+        if held is not None:
+            yield flush()
+
+    products = cells.mapInArrow(split, "tile long, part long, x binary, y binary").repartition(tasks, "tile", "part").sortWithinPartitions("tile", "part")
+    strip_sums = products.mapInArrow(multiply, "strip long, at binary, value binary")
+    if everywhere:  # strips without a product are there as well
+        tile = F.floor(F.col("id") / strips)
+        empty = spark.range(side * side * strips).filter(F.floor(tile / side) <= tile % side)
+        strip_sums = strip_sums.unionByName(empty.select(F.col("id").alias("strip"), F.lit(b"").alias("at"), F.lit(b"").alias("value")))
+    return strip_sums.repartition(min(TILE_TASKS, -(-tiles * strips // STRIP_SHARE)), "strip").sortWithinPartitions("strip").mapInArrow(out, "i long, j long, value double")
+
+
 def gram_entries(m: SparseMatrix) -> DataFrame:
     """(i, j, value) of X'X for i <= j, of the pairs that have a common row: block products up to GRAM_COLUMNS
     columns, beyond that one self-join, for wide matrices with narrow rows."""
@@ -171,15 +303,13 @@ def gram_entries(m: SparseMatrix) -> DataFrame:
 
 def covariance(m: SparseMatrix, center: bool = True) -> DataFrame:
     """(i, j, value) for i <= j: covariance of columns with divisor N - 1, pairs without common rows
-    included; not centred, X'X / (N - 1) of the pairs that have one. Centred ones are for up to
-    GRAM_COLUMNS columns, as the result is their square."""
+    included; not centred, X'X / (N - 1) of the pairs that have one. A centred one has a row for each pair of
+    columns, so its size is their square; ids and sums of columns come to the driver."""
     n = m.nrows
     if n < 2:
         raise ValueError("a covariance needs two rows")
     if not center:
         return gram_entries(m).select("i", "j", (F.col("value") / float(n - 1)).alias("value"))
-    if m.ncols > GRAM_COLUMNS:
-        raise ValueError(f"a centred covariance is for up to {GRAM_COLUMNS} columns")
     return _pair_table(m, True, float(n - 1), True)
 
 
