@@ -6,9 +6,10 @@ through an integral image, each quantised to two Gray-coded bits: one packed 32-
 
 Recordings with equal fingerprints are one class. Classes that share an integer meet in the bucket of
 that integer, each with the integers around it; there the bit error of the two windows, laid on each
-other at the shared integer, decides whether they align. A bucket hands on a spanning forest of its
-alignments, so groups of copies never come out as pairs; the votes of all buckets for a pair are its
-offset histogram. No recording is sent to all tasks, and nothing of the recordings comes to the driver.
+other at the shared integer, decides whether they align. A bucket hands on all of its alignments, packed by
+recording, and a spanning forest of them for the groups; copies are one class and never come out as pairs.
+The votes of all buckets for a pair are its offset histogram. No recording is sent to all tasks, and nothing
+of the recordings comes to the driver.
 """
 
 from __future__ import annotations
@@ -45,6 +46,8 @@ MAX_BIT_ERROR = 0.08
 CHUNK = 1024
 #: rows of a bucket up to which its pairs are compared together with those of other buckets
 SMALL = 32
+#: alignments that are packed at once, and about as many whose histograms are counted at once
+LINKS_AT_ONCE = 1 << 18
 #: recordings rendered at once
 GROUP = 256
 
@@ -204,11 +207,18 @@ def _near(bits: np.ndarray, of: np.ndarray) -> np.ndarray:
     return (of > 0) & (bits <= MAX_BIT_ERROR * of)
 
 
+#: an alignment as one of its two recordings has it: the other one, the number that other is named by, where it starts in
+#: this one, differing bits and bits compared
+_LINK = np.dtype([("b", "<i8"), ("name", "<i8"), ("offset", "<i4"), ("bits", "<i2"), ("of", "<i2")])
+
+
 def _bucket_links(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Spanning alignments of each bucket: (a, b, offset, bits, of)."""
+    """All alignments of each bucket, packed by recording: (fp_id, links, joined). Each is with both of its recordings;
+    ``joined`` has the other ends of those that alone connect what the bucket connects."""
     width = 2 * AROUND + 1
     for frame in whole_buckets(frames):
         ids, place, side = frame["fp_id"].to_numpy(), frame["place"].to_numpy().astype(np.int64), frame["side"].to_numpy()
+        names = frame["name"].to_numpy()
         lengths = np.fromiter(map(len, frame["window"]), np.int64, len(frame))
         values = np.zeros((len(frame), width), np.uint32)
         sound = np.full((len(frame), width), -1, np.int8)  # -1 beyond an end, 0 silent
@@ -217,8 +227,21 @@ def _bucket_links(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         flat = np.concatenate(frame["window"].to_list()).astype(np.int64).astype(np.uint32)
         values[row, at], sound[row, at] = flat, flat != SILENT
         starts = bucket_starts(frame)
-        links: list[tuple[int, int]] = []
         sizes = np.diff(starts)
+        pending: list[tuple[np.ndarray, ...]] = []  # rows p and q, bits, bits compared
+        tree: list[tuple[int, int]] = []
+
+        def packed(ids=ids, place=place, names=names, pending=pending, tree=tree) -> Iterator[pd.DataFrame]:
+            if not pending:
+                return
+            p, q, bits, of = map(np.concatenate, zip(*pending))
+            x, y = np.array(tree, np.int64).reshape(-1, 2).T
+            pending.clear()
+            tree.clear()
+            for lo in range(0, len(p), LINKS_AT_ONCE):
+                cut = slice(lo, lo + LINKS_AT_ONCE)
+                yield _by_recording(ids, place, names, p[cut], q[cut], bits[cut], of[cut], (x, y) if not lo else (x[:0], y[:0]))
+
         for size in range(2, SMALL + 1):  # buckets of one size together
             first = starts[:-1][sizes == size]
             if not len(first):
@@ -229,25 +252,95 @@ def _bucket_links(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 p, q = x[lo : lo + (1 << 15)], y[lo : lo + (1 << 15)]
                 # side 1 comes after side 0; in a bucket across, rows of one side aren't compared
                 across = side[np.repeat(first + size - 1, len(i))[lo : lo + (1 << 15)]] == 1
-                ok = _near(*_compared(values[p], sound[p], values[q], sound[q])) & (~across | (side[p] != side[q])) & (ids[p] != ids[q])
-                pairs = list(zip(p[ok].tolist(), q[ok].tolist()))
-                links += pairs if size == 2 else _forest(pairs)
+                bits, of = _compared(values[p], sound[p], values[q], sound[q])
+                ok = _near(bits, of) & (~across | (side[p] != side[q])) & (ids[p] != ids[q])
+                p, q = p[ok], q[ok]
+                pending.append((p, q, bits[ok], of[ok]))
+                pairs = list(zip(p.tolist(), q.tolist()))
+                tree += pairs if size == 2 else _forest(pairs)
+                if sum(len(x[0]) for x in pending) >= LINKS_AT_ONCE:
+                    yield from packed()
         for s, e in zip(starts[:-1][sizes > SMALL], starts[1:][sizes > SMALL]):
             across = side[e - 1] == 1
 
             def near(k: int, group: np.ndarray, s=s, e=e, across=across) -> np.ndarray:
-                other = np.flatnonzero((group != group[k]) & (ids[s:e] != ids[s + k]) & ((side[s:e] == 1) | (not across)))
+                other = np.flatnonzero((ids[s:e] != ids[s + k]) & ((side[s:e] == 1) if across else (np.arange(e - s) > k)))
                 if not len(other):
                     return other
                 bits, of = _compared(values[s + k], sound[s + k], values[s + other], sound[s + other])
-                return other[_near(bits, of)]
+                ok = _near(bits, of)
+                other = other[ok]
+                pending.append((np.full(len(other), s + k), s + other, bits[ok], of[ok]))
+                return other
 
             asking = np.flatnonzero(side[s:e] == 0)
-            links += [(s + a, s + b) for a, b in spanning(e - s, asking.tolist(), near)]
-        if links:
-            i, j = np.array(links).T
-            bits, of = _compared(values[i], sound[i], values[j], sound[j])
-            yield pd.DataFrame({"a": ids[i], "b": ids[j], "offset": place[i] - place[j], "bits": bits.astype(np.int64), "of": of.astype(np.int64)})
+            tree += [(s + a, s + b) for a, b in spanning(e - s, asking.tolist(), near)]
+            if sum(len(x[0]) for x in pending) >= LINKS_AT_ONCE:
+                yield from packed()
+        yield from packed()
+
+
+def _by_recording(ids, place, names, p, q, bits, of, tree) -> pd.DataFrame:
+    """Alignments of rows ``p`` and ``q`` of a frame, packed for each of their recordings."""
+    a, b = np.append(p, q), np.append(q, p)
+    links = np.empty(len(a), _LINK)
+    links["b"], links["name"], links["offset"] = ids[b], names[b], place[a] - place[b]
+    links["bits"], links["of"] = np.tile(bits, 2), np.tile(of, 2)
+    of_id = np.append(ids[a], ids[tree[0]])
+    own, at = np.unique(of_id, return_inverse=True)
+    order, counts = np.argsort(at[: len(a)], kind="stable"), np.bincount(at[: len(a)], minlength=len(own))
+    ends = np.cumsum(counts)
+    links, joined = links[order], [[] for _ in own]
+    for k, other in zip(at[len(a) :].tolist(), ids[tree[1]].tolist()):
+        joined[k].append(other)
+    return pd.DataFrame({"fp_id": own, "links": [links[e - n : e].tobytes() for e, n in zip(ends, counts)], "joined": joined})
+
+
+def _histograms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by recording, each recording's offset histograms: (fp_id, aligned, joined)."""
+    held: list[tuple[int, bytes, list[int]]] = []
+    size = 0
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if held and size >= LINKS_AT_ONCE * _LINK.itemsize and row[0] != held[-1][0]:
+                yield _voted(held)
+                held, size = [], 0
+            held.append(row)
+            size += len(row[1])
+    if held:
+        yield _voted(held)
+
+
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    """Where sorted keys change."""
+    return np.flatnonzero(np.append(True, np.any([k[1:] != k[:-1] for k in keys], axis=0)))
+
+
+def _voted(held: list[tuple[int, bytes, list[int]]]) -> pa.RecordBatch:
+    """The offset with the most votes for each pair; of equal ones the one with the least bit error, the nearer one, and
+    the greater one as the recording with the smaller number has it. A recording's alignments come best first."""
+    e = np.frombuffer(b"".join(x[1] for x in held), _LINK)
+    a = np.repeat(np.array([x[0] for x in held], np.int64), [len(x[1]) // _LINK.itemsize for x in held])
+    sign = np.where(a < e["b"], 1, -1)
+    off = e["offset"] * sign
+    order = np.lexsort((off, e["b"], a))
+    a, e, off, sign = a[order], e[order], off[order], sign[order]
+    s = _starts(a, e["b"], off)
+    hits = np.diff(np.append(s, len(a)))
+    error = np.add.reduceat(e["bits"].astype(np.int64), s) / np.add.reduceat(e["of"].astype(np.int64), s)
+    a, b, name, off, sign = a[s], e["b"][s], e["name"][s], off[s], sign[s]
+    order = np.lexsort((off, -np.abs(off), -error, hits, b, a))
+    last = order[np.append(_starts(a[order], b[order])[1:], len(a)) - 1]
+    a, b, name, off, error, hits = a[last], b[last], name[last], (off * sign)[last], error[last], hits[last]
+    order = np.lexsort((b, off, name, error, a))
+    a, b, off, error, hits = a[order], b[order], off[order], error[order], hits[order]
+    s = _starts(a)
+    joined: dict[int, set[int]] = {}
+    for fp_id, _, others in held:
+        joined.setdefault(fp_id, set()).update(others)
+    fields = {"fp_id": pa.array(b), "offset": pa.array(off.astype(np.int64)), "bit_error": pa.array(error), "hits": pa.array(hits.astype(np.int64))}
+    aligned = pa.ListArray.from_arrays(pa.array(np.append(s, len(a)), pa.int32()), pa.StructArray.from_arrays(list(fields.values()), list(fields)))
+    return pa.RecordBatch.from_arrays([pa.array(a[s]), aligned, pa.array([sorted(joined[x]) for x in a[s].tolist()], pa.list_(pa.int64()))], names=["fp_id", "aligned", "joined"])
 
 
 def _forest(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -288,31 +381,30 @@ def fingerprint_table(media: DataFrame, id_col: str, audio_col: str = "audio") -
 
 
 def fingerprint_alignments(prints: DataFrame) -> DataFrame:
-    """Alignments (a, b, offset, bit_error, hits) of the distinct fingerprints of ``prints`` (fp_id, fp, places), a < b, that
-    connect all that align: of two of which an integer agrees, at frames that are looked up, and at most
-    MAX_BIT_ERROR of the bits of the frames AROUND it differ. The offset is where b starts in a, in frames: the
-    one with the most votes, and bit_error the share of differing bits over the windows that vote for it."""
+    """All alignments of the distinct fingerprints of ``prints`` (fp_id, fp, places, name): of two of which an integer
+    agrees, at frames that are looked up, and at most MAX_BIT_ERROR of the bits of the frames AROUND it differ. A row for
+    each fingerprint that has one: (fp_id, aligned, joined), where ``aligned`` has (fp_id, offset, bit_error, hits) of
+    every fingerprint it aligns with, the least bit error first and then the least name. The offset is where that other
+    one starts in this one, in frames: the one with the most votes, and bit_error the share of differing bits over
+    the windows that vote for it. ``joined`` has those that suffice to connect all that align."""
     keys = write_shared(prints.select("fp_id", F.explode("places").alias("place"), "fp").select(F.expr("fp[place]").alias("key"), "fp_id", "place"), "keys")
     sizes = write_shared(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
     # an integer that occurs once links nothing; only the others take their windows along
     total = keys.count()
     shared = hot_split_join(keys, sizes.select("key"), "key", sizes, total)
     cut = F.slice("fp", F.greatest(F.col("place") - AROUND, F.lit(0)) + 1, F.least(F.col("place"), F.lit(AROUND)) + AROUND + 1)
-    windows = shared.join(prints.select("fp_id", "fp"), "fp_id").select("key", "fp_id", "place", cut.alias("window"))
+    windows = shared.join(prints.select("fp_id", "fp", "name"), "fp_id").select("key", "fp_id", "name", "place", cut.alias("window"))
     crowded = write_shared(crowded_keys(sizes, "key", CHUNK), "crowded")
-    dealt = deal(windows, "key", "fp_id", crowded).select("bucket", "side", "fp_id", "place", "window")
-    found = dealt.mapInPandas(_bucket_links, "a long, b long, offset long, bits long, of long")
-    turned = F.col("a") > F.col("b")
-    found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(turned, -F.col("offset")).otherwise(F.col("offset")).alias("offset"), "bits", "of")
-    votes = found.groupBy("a", "b", "offset").agg(F.count("*").alias("hits"), (F.sum("bits") / F.sum("of")).alias("bit_error"))
-    order = F.struct(F.col("hits"), -F.col("bit_error"), -F.abs("offset"), F.col("offset"))
-    return votes.groupBy("a", "b").agg(F.max_by(F.struct("offset", "bit_error", "hits"), order).alias("v")).select("a", "b", "v.*")
+    dealt = deal(windows, "key", "fp_id", crowded).select("bucket", "side", "fp_id", "name", "place", "window")
+    found = dealt.mapInPandas(_bucket_links, "fp_id long, links binary, joined array<long>")
+    kind = "fp_id long, aligned array<struct<fp_id: long, offset: long, bit_error: double, hits: long>>, joined array<long>"
+    return found.repartition("fp_id").sortWithinPartitions("fp_id").mapInArrow(_histograms, kind)
 
 
 def group_recordings(media: DataFrame, id_col: str, audio_col: str = "audio") -> DataFrame:
     """One row per row of ``media``: id, n_frames, class_id (the smallest id with the same fingerprint),
     component_id (the smallest id that alignments reach, the row's own included), and the alignment with the
-    least bit error of those found for its fingerprint: link_id (a class_id), offset (where that recording
+    least bit error of all that its fingerprint has: link_id (a class_id), offset (where that recording
     starts in this one, in frames) and bit_error; null where it aligns with no other fingerprint.
 
     Null, empty, unreadable and too short audio has no fingerprint: it is a class of its own under its id and
@@ -322,20 +414,18 @@ def group_recordings(media: DataFrame, id_col: str, audio_col: str = "audio") ->
     prints = write_shared(fingerprint_table(media, id_col, audio_col).withColumn("fp_id", F.when(F.size("fp") > 0, F.xxhash64("fp"))), "prints")
     heard = prints.filter("fp_id IS NOT NULL")
     classes = write_shared(heard.groupBy("fp_id").agg(F.min("id").alias("class_id"), F.count("*").alias("n")), "classes")
-    # one row of each class goes on
-    one = write_shared(heard.groupBy("fp_id").agg(F.any_value("fp").alias("fp"), F.any_value("places").alias("places")), "distinct")
-    links = write_shared(fingerprint_alignments(one), "alignments")
-    roots = write_shared(components(links, "a", "b"), "roots")
+    # one row of each class goes on, named by its class; a class of null ids comes last
+    name = F.coalesce(F.min("id"), F.lit(2**63 - 1)).alias("name")
+    one = write_shared(heard.groupBy("fp_id").agg(F.any_value("fp").alias("fp"), F.any_value("places").alias("places"), name), "distinct")
+    links = write_shared(fingerprint_alignments(one).select("fp_id", F.col("aligned")[0].alias("v"), "joined"), "alignments")
+    roots = write_shared(components(links.select("fp_id", F.explode("joined").alias("other")), "fp_id", "other"), "roots")
     linked = write_shared(classes.join(roots.withColumnRenamed("node", "fp_id"), "fp_id"), "linked")
     least = write_shared(least_by(linked, "root", "class_id", "fp_id").withColumnRenamed("n", "members"), "firsts")
     firsts = hot_split_join(linked, least.select("root", "m"), "root", least.select("root", F.col("members").alias("n")), linked.count())
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), (-F.col("offset")).alias("offset"), "bit_error", "hits"))
-    named = hot_split_join(both, classes.select(F.col("fp_id").alias("b"), F.col("class_id").alias("link_id")), "b", both.groupBy("b").agg(F.count("*").alias("n")), links.count() * 2)
-    part = F.pmod(F.xxhash64("b"), F.lit(64))  # a recording with very many alignments meets in parts
-    best = F.min(F.struct(F.col("bit_error"), F.col("link_id").isNull().alias("without"), F.col("link_id"), F.col("offset"))).alias("v")
-    best = named.groupBy("a", part.alias("part")).agg(best).groupBy("a").agg(F.min("v").alias("v"))
-    per_class = classes.join(firsts.select("fp_id", F.col("m").alias("component_id")), "fp_id", "left").join(best.withColumnRenamed("a", "fp_id"), "fp_id", "left")
-    per_class = write_shared(per_class.select("fp_id", "n", "class_id", F.coalesce("component_id", "class_id").alias("component_id"), "v.link_id", "v.offset", "v.bit_error"), "groups")
+    best = links.select("fp_id", F.col("v.fp_id").alias("b"), "v.offset", "v.bit_error")
+    best = hot_split_join(best, classes.select(F.col("fp_id").alias("b"), F.col("class_id").alias("link_id")), "b", best.groupBy("b").agg(F.count("*").alias("n")), links.count())
+    per_class = classes.join(firsts.select("fp_id", F.col("m").alias("component_id")), "fp_id", "left").join(best, "fp_id", "left")
+    per_class = write_shared(per_class.select("fp_id", "n", "class_id", F.coalesce("component_id", "class_id").alias("component_id"), "link_id", "offset", "bit_error"), "groups")
     rows = prints.select("id", "n_frames", "fp_id")
     out = hot_split_join(rows, per_class.drop("n"), "fp_id", per_class.select("fp_id", "n"), rows.count(), "left")
     own = lambda c: F.when(F.col("fp_id").isNull(), F.col("id")).otherwise(F.col(c)).alias(c)

@@ -428,6 +428,46 @@ def test_groups_match_brute_force(spark, monkeypatch, chunk, small):
     assert chroma.group_recordings(media.limit(0), "id").count() == 0
 
 
+@pytest.mark.parametrize("chunk,small,at_once", [(1024, 32, 1 << 18), (1024, 4, 50), (6, 4, 7)])
+def test_no_alignment_is_left_out(spark, monkeypatch, chunk, small, at_once):
+    """Every pair that aligns is there, with its whole histogram, and the best of all alignments is a row's own."""
+    for name, value in {"CHUNK": chunk, "SMALL": small, "LINKS_AT_ONCE": at_once}.items():
+        monkeypatch.setattr(chroma, name, value)
+    rng, audio = np.random.default_rng(8), []
+    for seed in range(4):
+        x = chroma.read_wav(tune(seed, 50))[0]
+        audio += [chroma.write_wav(x + 0.003 * k * rng.normal(size=len(x)), 2000) for k in range(10)] + [chroma.write_wav(x, 2000)]
+        audio += [chroma.write_wav(*COPIES["later"](x, rng)), chroma.write_wav(np.tile(x, 2), 2000)]
+    fps = [chroma.fingerprint_audio(a) for a in audio]
+    first = [min(j for j, g in enumerate(fps) if np.array_equal(f, g)) for f in fps]
+    votes = {}
+    for p, q in [(p, q) for p in sorted(set(first)) for q in sorted(set(first)) if p != q]:
+        for i in chroma.key_frames(fps[p]):
+            for j in chroma.key_frames(fps[q]):
+                if fps[p][i] == fps[q][j]:
+                    lo = min(i, j, chroma.AROUND)
+                    x, y = (f[k - lo : k + chroma.AROUND + 1] for f, k in ((fps[p], i), (fps[q], j)))
+                    heard = [(int(u), int(v)) for u, v in zip(x, y) if int(u) != chroma.SILENT or int(v) != chroma.SILENT]
+                    bits = sum((u ^ v).bit_count() for u, v in heard)
+                    if len(heard) >= chroma.MIN_SHARED and bits <= chroma.MAX_BIT_ERROR * 32 * len(heard):
+                        votes.setdefault((p, q), {}).setdefault(int(i - j), []).append((bits, 32 * len(heard)))
+    rows = [(i, f.view(np.int32).tolist(), chroma.key_frames(f).tolist(), i) for i, f in enumerate(fps) if first[i] == i]
+    prints = spark.createDataFrame(rows, "fp_id long, fp array<int>, places array<int>, name long")
+    want = {}
+    for (p, q), by_offset in votes.items():
+        share = {o: (sum(b for b, _ in v) / sum(n for _, n in v), len(v)) for o, v in by_offset.items()}
+        turn = 1 if p < q else -1
+        o = max(share, key=lambda o: (share[o][1], -share[o][0], -abs(o), o * turn))
+        want.setdefault(p, []).append((q, o, *share[o]))
+    got = {r["fp_id"]: [tuple(x) for x in r["aligned"]] for r in chroma.fingerprint_alignments(prints).collect()}
+    assert sum(map(len, want.values())) > 300
+    assert got == {p: sorted(v, key=lambda x: (x[2], x[0], x[1])) for p, v in want.items()}
+    media = spark.createDataFrame([*enumerate(audio)], "id long, audio binary")
+    for r in chroma.group_recordings(media, "id").collect():
+        best = min(want.get(first[r["id"]], [(None, None, None, 0)]), key=lambda x: (x[2], x[0], x[1]))
+        assert (r["link_id"], r["offset"], r["bit_error"]) == best[:3]
+
+
 def test_copies_are_found(spark):
     """Recall of altered copies, and offsets, against recordings that are not alike."""
     rng, rows = np.random.default_rng(6), []
